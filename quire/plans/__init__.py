@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text", "reading", "library")
+MODULES = ("text", "reading", "library", "linkage")
 
 
 def load():
