@@ -8,6 +8,7 @@ from quire.fixtures import Views
 from quire.operators import geometry as G
 from quire.operators import layout as Y
 from quire.plans.registry import query
+from quire.session import stage_table
 
 
 def page_sizes(items):
@@ -107,7 +108,7 @@ def l7(v: Views):
 
 @query("L8_block_assembly")
 def l8(v: Views):
-    b = Y.build_blocks(Y.build_lines(v.text_items), page_sizes(v.text_items))
+    b = Y.build_blocks(stage_table(Y.build_lines(v.text_items), "lines"), page_sizes(v.text_items))
     return b.select("paper_id", "page", "n", "kind", "n_lines", "fs", F.round("x0", 3).alias("x0"), F.round("y0", 3).alias("y0"), F.length("text").alias("chars"))
 
 
@@ -142,7 +143,7 @@ def l11(v: Views):
 
 @query("L14_paragraph_flows")
 def l14(v: Views):
-    b = Y.build_blocks(Y.build_lines(v.text_items), page_sizes(v.text_items))
+    b = Y.build_blocks(stage_table(Y.build_lines(v.text_items), "lines"), page_sizes(v.text_items))
     return Y.link_flows(b)
 
 
@@ -157,7 +158,7 @@ def sentence_chars(v: Views):
     return c.select("paper_id", "sentence", "page", "item", "k", (F.col("at") + F.col("k")).alias("pos"))
 
 
-_W = "case when ch=' ' then 26 when regexp_matches(ch, '[\\x{2e80}-\\x{9fff}\\x{ff00}-\\x{ffef}]') then 100 when contains('iljtfrI.,;:''!|()[]{}/`\"-·’‘', ch) then 30 when contains('mwMW@%', ch) then 86 when regexp_matches(ch, '[0-9]') then 50 when contains('ABCDGHKNOQRUVXY&', ch) then 72 when regexp_matches(ch, '[A-Z]') then 62 else 48 end"
+_W = "case when ch=' ' then 26 when regexp_matches(ch, '[\\x{2e80}-\\x{9fff}\\x{ff00}-\\x{ffef}]') then 100 when contains('iljtfrI.,;:''!|()[]{}/`\"-·’‘', ch) then 30 when contains('mwMW@%', ch) then 86 when regexp_matches(ch, '[0-9]') then 50 when contains('ABCDGHKNOQRUVXY', ch) then 72 when regexp_matches(ch, '[A-Z]') then 62 else 48 end"
 
 
 @query(

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
     # Event times in the inputs are UTC without a zone.
@@ -13,6 +14,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Many operators do much work per byte, so small shuffles keep their tasks apart;
+    # large ones are sized by parallelism and never get near this floor.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32KB",
 }
 
 
@@ -57,3 +61,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         current = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(current)
     return current
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table under the shared checkpoint folder and read it back.
+
+    Used between the stages of long pipelines whose later steps read a stage several times:
+    the work is done once, and a lost executor re-reads files instead of repeating it.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
