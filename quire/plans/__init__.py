@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text", "reading", "library", "linkage", "replication", "blocks", "layout", "outputs", "live")
+MODULES = ("text", "reading", "library", "linkage", "replication", "blocks", "layout", "outputs", "live", "flagship")
 
 
 def load():

@@ -78,7 +78,7 @@ def source_pages(v: Views):
     b = v.lines.withColumnRenamed("paper_id", "doc").join(last.withColumnRenamed("paper_id", "doc"), "doc")
     text = F.when((F.col("line_no") == 0) & (F.col("doc") % 3 == 0), F.concat((100 + page).cast("string"), F.lit(" "), F.substring_index("text", " ", 3))).otherwise(F.col("text"))
     return b.select(
-        F.col("source").alias("paper_id"), page.alias("page"), F.col("line_no").alias("n"), text.alias("text"),
+        "doc", F.col("source").alias("paper_id"), page.alias("page"), F.col("line_no").alias("n"), text.alias("text"),
         ((F.col("line_no") == 0) | (F.col("line_no") >= F.col("last_line") - 1)).alias("edge"),
     )
 

@@ -18,7 +18,8 @@ GAP_MS = 1_800_000
 
 def event_stream(v: Views):
     """The events table as a stream, in the columns of the ``ev`` view plus the event time."""
-    raw = L.read_stream(v.spark, f"{v.dir}/events.parquet", v.table("events").schema)
+    # A pattern, because a stream reads folders or patterns and not a single file.
+    raw = L.read_stream(v.spark, f"{v.dir}/event[s].parquet", v.table("events").schema)
     return raw.select(
         "event_id", "user_id", "event_type", "value", F.regexp_extract("props", "([0-9]+)", 1).cast("bigint").alias("k"), F.col("ts").cast("timestamp").alias("ts")
     ).withColumn("ms", F.floor(F.unix_micros("ts") / 1000).cast("bigint"))

@@ -75,7 +75,7 @@ def from_registry(w: DataFrame) -> DataFrame:
 
 def from_manager(w: DataFrame) -> DataFrame:
     """Reference-manager items → common work rows."""
-    pages = F.transform(F.split("pages", "[-–]"), F.trim)
+    pages = F.transform(F.split("pages", "[-–]"), lambda x: F.trim(x))
     people = F.filter("creators", lambda c: c.creatorType.isin("author", "editor"))
     names = F.transform(
         people,
