@@ -26,6 +26,15 @@ BASE_TABLES = (
 ).split()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small text table over all cores; a table with splits for every core stays as it is.
+
+    Per-row text work dominates its readers, and a small file is often a single row group.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Views:
     """Lazy Spark views over one folder of driver tables."""
 
@@ -38,11 +47,11 @@ class Views:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.table("documents")
+        return spread(self.table("documents"))
 
     @cached_property
     def conversations(self) -> DataFrame:
-        return self.table("conversations")
+        return spread(self.table("conversations"))
 
     @cached_property
     def benchmark(self) -> DataFrame:
@@ -263,7 +272,7 @@ class Views:
     def journals(self) -> DataFrame:
         """The user's journal list in list order; a settings-sized table by construction."""
         names = self.table("part").select(F.col("p_brand").alias("name")).distinct().where("name not like '%5'")
-        ordered = names.groupBy().agg(F.array_sort(F.collect_set("name")).alias("names"))
+        ordered = names.groupBy().agg(F.sort_array(F.collect_set("name")).alias("names"))
         return ordered.select(F.posexplode("names").alias("i", "name")).select(
             "name", (F.col("i") + 1).alias("ord"), (1 + (F.col("i") + 1) % 3).alias("tier")
         )

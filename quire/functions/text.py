@@ -106,7 +106,7 @@ def abstract_from_index(index: Column, limit: int = 1500) -> Column:
         lambda e, i: F.transform(e.value, lambda p: F.struct(p.alias("p"), (-i).alias("late"), e.key.alias("w"))),
     )
     words = let(
-        F.array_sort(F.flatten(entries)),
+        F.sort_array(F.flatten(entries)),
         lambda placed: F.transform(placed, lambda x, i: F.when((i == 0) | (F.get(placed, i - 1).p != x.p), x.w)),
     )
     text = F.array_join(F.filter(words, lambda w: w.isNotNull() & (w != "")), " ")

@@ -69,7 +69,7 @@ def _cuts(highlights: DataFrame, display: DataFrame) -> tuple[DataFrame, DataFra
     ranges = h.groupBy(*SENT, "ra", "rb", "len").agg(F.max("id").alias("last_id"), F.count("*").alias("n"))
     points = (
         ranges.groupBy(*SENT)
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array("ra", "rb", F.lit(0), "len"))))).alias("pts"))
+        .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.array("ra", "rb", F.lit(0), "len"))))).alias("pts"))
     )
     return ranges, points
 
@@ -107,7 +107,7 @@ def shift_ranges(ranges: DataFrame, cuts: DataFrame) -> DataFrame:
         F.coalesce("len", "e").alias("len"),
     )
     item = F.struct("pos", *SENT, "s", "e", "len", "touched")
-    per = moved.groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("r"))  # the ranges of one selection
+    per = moved.groupBy("id").agg(F.sort_array(F.collect_list(item)).alias("r"))  # the ranges of one selection
 
     def outcome(r):
         kept = F.filter(r, lambda x: ~x.touched | (x.e > x.s))
@@ -138,7 +138,7 @@ def paragraph_context(selected: DataFrame, sentences: DataFrame, limit: int = 25
     return (
         sentences.join(blocks, ["paper_id", "block"], "left_semi")
         .groupBy("paper_id", "block")
-        .agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("x"))
+        .agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("x"))
         .select("paper_id", "block", F.substring(F.array_join(F.transform("x", lambda y: y.text), " "), 1, limit).alias("context"))
     )
 

@@ -55,7 +55,7 @@ def join_lines(lines: Column) -> Column:
 
 def block_texts(lines: DataFrame, *key: str) -> DataFrame:
     """Joined text per block from rows (key..., line_no, text); a block is a paragraph-sized group."""
-    g = lines.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("x"))
+    g = lines.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("x"))
     return g.select(*key, join_lines(F.transform("x", lambda y: y.text)).alias("text"))
 
 
@@ -173,7 +173,7 @@ def guess_title(blocks: DataFrame) -> DataFrame:
     """Title per paper: the first large block on pages 0-1, replaced only by one larger by more than half a point."""
     words = F.size(F.split("text", r"\s+"))
     c = blocks.where((F.col("page") <= 1) & (F.col("kind") != "skip") & words.between(3, 40) & (F.col("fs") >= F.col("body_fs") * 1.15))
-    per = c.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("page", "n", "fs", F.trim("text").alias("text")))).alias("c"))
+    per = c.groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("page", "n", "fs", F.trim("text").alias("text")))).alias("c"))
     start = F.struct(F.lit(-1.0).alias("fs"), F.lit(None).cast("string").alias("text"))
     take = F.aggregate("c", start, lambda acc, b: F.when(acc.text.isNull() | (b.fs > acc.fs + 0.5), F.struct(b.fs.alias("fs"), b.text.alias("text"))).otherwise(acc))
     return per.select("paper_id", take.getField("text").alias("title"))
@@ -221,7 +221,7 @@ def citation_hints(lines: Column, heads: Column, pdf_title: Column, title: Colum
         return (n >= lo) & (n <= hi)
 
     top = F.slice(
-        F.array_sort(F.transform(F.filter(heads, lambda h: wordy(h.text, 3, 30) & ~h.text.rlike(JOURNALISH)), lambda h: F.struct((-h.fs).alias("k"), h.i.alias("i"), h.text.alias("text")))),
+        F.sort_array(F.transform(F.filter(heads, lambda h: wordy(h.text, 3, 30) & ~h.text.rlike(JOURNALISH)), lambda h: F.struct((-h.fs).alias("k"), h.i.alias("i"), h.text.alias("text")))),
         1, 3,
     )
     own = F.when(wordy(pdf_title, 4, 10_000) & ~pdf_title.rlike(NOT_A_TITLE), pdf_title)

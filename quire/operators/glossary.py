@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def variants(term: Column) -> Column:
     """Spellings of a term: split on commas and parentheses, two characters or more, longest first."""
     parts = F.filter(F.transform(F.split(term, r",\s*|\s*\(|\)"), lambda x: F.trim(x)), lambda v: F.length(v) >= 2)
-    by_length = F.array_sort(F.transform(parts, lambda v, i: F.struct((-F.length(v)).alias("k"), i.alias("i"), v.alias("v"))))
+    by_length = F.sort_array(F.transform(parts, lambda v, i: F.struct((-F.length(v)).alias("k"), i.alias("i"), v.alias("v"))))
     return F.transform(by_length, lambda x: x.v)
 
 

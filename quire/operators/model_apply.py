@@ -26,7 +26,7 @@ def call_batches(requests: DataFrame, caller: Caller) -> DataFrame:
 
     A batch is a bounded prompt; batches spread over the cluster and each task streams its own.
     """
-    g = requests.groupBy("paper_id", "batch").agg(F.array_sort(F.collect_list(F.struct("ord", "sid", "text"))).alias("b"))
+    g = requests.groupBy("paper_id", "batch").agg(F.sort_array(F.collect_list(F.struct("ord", "sid", "text"))).alias("b"))
     g = g.select("paper_id", F.transform("b", lambda x: F.struct(x.sid.alias("sid"), x.text.alias("text"))).alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

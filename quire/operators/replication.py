@@ -99,11 +99,11 @@ def build_bundles(translations: DataFrame, picks: DataFrame, page_status: DataFr
     is the output of one paper, so it is bounded by the paper's sentences.
     """
     t = translations.where("not coalesce(mock, false) and t is not null and t <> ''")
-    texts = t.groupBy("paper_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("sid", "t")))).alias("t"))
+    texts = t.groupBy("paper_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("sid", "t")))).alias("t"))
     legacy = translations.where("c is not null").select("paper_id", "sid", F.lit(0).alias("p"), "c")
     cats = legacy.unionByName(picks.select("paper_id", "sid", F.lit(1).alias("p"), "c"))
     cats = cats.groupBy("paper_id", "sid").agg(F.max_by("c", "p").alias("c"))
-    cats = cats.groupBy("paper_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("sid", "c")))).alias("c"))
+    cats = cats.groupBy("paper_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("sid", "c")))).alias("c"))
     mock = translations.where("mock").select("paper_id", "page").distinct()
     done = page_status.where("done").select("paper_id", "page").join(mock, ["paper_id", "page"], "left_anti")
     pages = done.groupBy("paper_id").agg(F.sort_array(F.collect_set("page")).alias("pages"))
@@ -159,7 +159,7 @@ def upload_parts(rows: DataFrame, max_chars: int = 900_000) -> DataFrame:
     ``rows`` (user_id, batch, seq, payload). A batch holds at most the outbox batch size.
     """
     per = rows.groupBy("user_id", "batch").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("seq").cast("bigint").alias("k"), F.length("payload").cast("bigint").alias("size")))).alias("r")
+        F.sort_array(F.collect_list(F.struct(F.col("seq").cast("bigint").alias("k"), F.length("payload").cast("bigint").alias("size")))).alias("r")
     )
     out = per.select("user_id", "batch", F.explode(pack(F.col("r"), max_chars, False)).alias("x"))
     return out.select("user_id", "batch", F.col("x.k").alias("seq"), F.col("x.size").alias("chars"), F.col("x.batch").alias("part"))

@@ -68,7 +68,7 @@ def page_batches(sentences: DataFrame, limit: int = 12_000) -> DataFrame:
     pages = sentences.groupBy("paper_id", "page").agg(F.sum(F.length("text")).alias("size"))
     packed = (
         pages.groupBy("paper_id")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("page").cast("bigint").alias("k"), "size"))).alias("p"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.col("page").cast("bigint").alias("k"), "size"))).alias("p"))
         .select("paper_id", F.explode(pack(F.col("p"), limit, True)).alias("x"))
     )
     return packed.select("paper_id", F.col("x.k").alias("page"), F.col("x.size").alias("chars"), "x.batch")

@@ -196,9 +196,9 @@ def run_pieces(v: Views):
 def l17(v: Views):
     p = run_pieces(v)
     item = F.struct("s", "e", "page", F.struct("x0", "y0", "x1", "y1").alias("r"))
-    s = p.groupBy("paper_id", "sid").agg(F.array_sort(F.collect_list(item)).alias("pieces"))
+    s = p.groupBy("paper_id", "sid").agg(F.sort_array(F.collect_list(item)).alias("pieces"))
     words = v.text_items.withColumn("sid", F.concat(F.lit("1."), (F.floor(F.col("ix") / 12) + 1).cast("string")))
-    t = words.groupBy("paper_id", "sid").agg(F.array_sort(F.collect_list(F.struct("ix", "str"))).alias("w"))
+    t = words.groupBy("paper_id", "sid").agg(F.sort_array(F.collect_list(F.struct("ix", "str"))).alias("w"))
     t = t.select("paper_id", "sid", F.array_join(F.transform("w", lambda x: x.str), " ").alias("text"))
     j = v.annotations.join(s, ["paper_id", "sid"]).join(t, ["paper_id", "sid"])
     rects = G.range_rects(F.col("text"), F.col("pieces"), F.col("s"), F.col("e"), F.get("pieces", F.lit(0)).page)

@@ -91,7 +91,7 @@ def w6(v: Views):
 )
 def w7(v: Views):
     heights = v.text_items.select("paper_id", "page", (F.col("y") + F.col("h") / 2).alias("y"), "fs").distinct()
-    per = heights.groupBy("paper_id", "page").agg(F.array_sort(F.collect_list(F.struct("y", "fs"))).alias("pts"))
+    per = heights.groupBy("paper_id", "page").agg(F.sort_array(F.collect_list(F.struct("y", "fs"))).alias("pts"))
     c = per.select("paper_id", "page", Q.cluster_starts(F.col("pts")).alias("c"))
     return c.select("paper_id", "page", F.size("c").alias("n"), F.array_min("c").alias("lo"), F.array_max("c").alias("hi"))
 
@@ -360,7 +360,7 @@ def g4(v: Views):
 def g5(v: Views):
     from quire.operators.library import quiz_score
 
-    arrays = v.quiz.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("qi", "answer", "chosen"))).alias("q"))
+    arrays = v.quiz.groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("qi", "answer", "chosen"))).alias("q"))
     arrays = arrays.select("paper_id", F.col("q.answer").alias("answers"), F.col("q.chosen").alias("chosen"))
     return quiz_score(arrays)
 

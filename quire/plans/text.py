@@ -323,7 +323,7 @@ def page_batches(v: Views):
     """Text of each page of a paper, the unit a translation batch is made of."""
     return (
         v.sentences.groupBy("paper_id", "page")
-        .agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("s"))
+        .agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("s"))
         .select("paper_id", "page", F.array_join(F.transform("s", lambda x: x.text), " ").alias("text"))
     )
 
