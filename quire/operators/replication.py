@@ -242,11 +242,17 @@ def reconcile(local: DataFrame, remote: DataFrame, pending: DataFrame) -> DataFr
 
     ``local`` and ``remote`` (deleted, has_file); ``pending`` one row per waiting change.
     """
-    lo = local.agg(F.count_if(~F.col("deleted")).alias("local_papers"), F.count_if("has_file").alias("local_files"))
-    re = remote.agg(F.count_if(~F.col("deleted")).alias("remote_papers"), F.count_if("has_file").alias("remote_files"))
-    pe = pending.agg(F.count("*").alias("pending"))
-    one = F.lit(1).alias("one")
-    j = lo.select("*", one).join(re.select("*", one), "one").join(pe.select("*", one), "one").drop("one")
+    def tally(df, side):
+        return df.select(F.lit(side).alias("side"), F.coalesce("deleted", F.lit(False)).alias("deleted"), F.coalesce("has_file", F.lit(False)).alias("has_file"))
+
+    waiting = pending.select(F.lit("pending").alias("side"), F.lit(False).alias("deleted"), F.lit(False).alias("has_file"))
+    is_ = lambda side: F.col("side") == side
+    # One pass over the three inputs; every side is a conditional count.
+    j = tally(local, "local").unionByName(tally(remote, "remote")).unionByName(waiting).agg(
+        F.count_if(is_("local") & ~F.col("deleted")).alias("local_papers"), F.count_if(is_("local") & F.col("has_file")).alias("local_files"),
+        F.count_if(is_("remote") & ~F.col("deleted")).alias("remote_papers"), F.count_if(is_("remote") & F.col("has_file")).alias("remote_files"),
+        F.count_if(is_("pending")).alias("pending"),
+    )
     advice = (
         F.when(F.col("local_papers") > F.col("remote_papers"), "upload all")
         .when(F.col("remote_papers") > F.col("local_papers"), "download all")

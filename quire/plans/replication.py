@@ -98,8 +98,7 @@ def m6b(v: Views):
 def m7(v: Views):
     c = v.changes
     state, cursor = R.pull(c.where(LOCAL), c.where(REMOTE), 4000, 1500)
-    # The cursor is one row.
-    return state.select(*KEEP, "source", F.lit(1).alias("one")).join(F.broadcast(cursor.withColumn("one", F.lit(1))), "one").drop("one")
+    return state.select(*KEEP, "source", cursor.scalar().alias("cursor"))
 
 
 @query(
