@@ -14,6 +14,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Sessions of a busy key are merged before the shuffle.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # Many operators do much work per byte, so small shuffles keep their tasks apart;
     # large ones are sized by parallelism and never get near this floor.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32KB",
