@@ -267,14 +267,32 @@ def l6(v: Views):
     return positions(v).withColumn("label", G.line_label(F.col("col"), F.col("line"))).withColumn("short", G.line_label(F.col("col"), F.col("line"), True))
 
 
-@query("L22_figure_region")
+@query(
+    "L22_figure_region",
+    f"""with {GRID_SQL}, c0 as (select *, x1-x0 < 0.55*612 nar, (x0+x1)/2 < 306 lf from gb where block%4=2),
+      c as (select *, case when nar and not lf then 306.0 else 24.48 end::double rx0, case when nar and lf then 306.0 else 587.52 end::double rx1 from c0),
+      u as (select c.*, coalesce((select max(b.y1) from gb b where b.paper_id=c.paper_id and b.page=c.page and b.block%4 not in (2,3) and least(b.x1, c.rx1) > greatest(b.x0, c.rx0) and b.y1 <= c.y0+1)+2, 31.68) up,
+        coalesce((select min(b.y0) from gb b where b.paper_id=c.paper_id and b.page=c.page and b.block%4 not in (2,3) and least(b.x1, c.rx1) > greatest(b.x0, c.rx0) and b.y0 >= c.y1-1)-2, 760.32) down from c),
+      n as (select c.*, (select count(*) from gb b where b.paper_id=c.paper_id and b.page=c.page and b.block%4=3 and least(b.x1, c.rx1) > greatest(b.x0, c.rx0) and b.y0 >= c.up and b.y1 <= c.y0) nu,
+        (select count(*) from gb b where b.paper_id=c.paper_id and b.page=c.page and b.block%4=3 and least(b.x1, c.rx1) > greatest(b.x0, c.rx0) and b.y0 >= c.y1 and b.y1 <= c.down) nd from u c),
+      r as (select *, case when nu<>nd then nu>nd else y0-up >= down-y1 end use_up from n)
+      select paper_id, page, block n, rx0 x0, case when use_up then up else y0-2 end y0, rx1 x1, case when use_up then y1+2 else down end y1 from r""",
+)
 def l22(v: Views):
     kind = F.when((F.col("block") % 4 == 2), "caption").when(F.col("block") % 4 == 3, "label").otherwise("para")
     b = grid_blocks(v).withColumn("kind", kind).withColumn("n_lines", F.lit(5)).withColumnRenamed("block", "n")
     return G.figure_regions(b)
 
 
-@query("L24_ink_refit")
+@query(
+    "L24_ink_refit",
+    f"""with {LINES_SQL}, sp as (select paper_id, page, line, min(x) lx0, max(x+w) lx1 from g group by all),
+      m as (select *, lx0+paper_id%3 a, lx0+paper_id%3+(lx1-lx0)*(1+0.05::double*(paper_id%4)) b from sp), fi as (select *, (b-a)/(lx1-lx0) s from m),
+      ok as (select paper_id, page from fi where s between 0.35 and 2.8 group by all having count(*) filter (abs(s-1)>0.08 or abs(a-lx0)>3) >= greatest(3, 0.3*count(*))),
+      q as (select g.paper_id, g.page, g.line//6 block, case when ok.paper_id is not null then fi.a+(x-lx0)*s else x end x0, case when ok.paper_id is not null then fi.a+(x+w-lx0)*s else x+w end x1, y y0, y+h y1
+        from g join fi using (paper_id, page, line) left join ok on ok.paper_id=g.paper_id and ok.page=g.page)
+      select paper_id, page, block::bigint block, round(min(x0), 4) x0, round(min(y0), 4) y0, round(max(x1), 4) x1, round(max(y1), 4) y1 from q group by all""",
+)
 def l24(v: Views):
     i = Y.number_lines(v.text_items)
     p = i.select(
