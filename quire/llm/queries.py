@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import attribution, license_scan, minhash, secret_scan
+from quire.llm import attribution, importance, license_scan, minhash, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.section_counts(table(spark, sf_dir, "documents"))
 
 
+@register("op9_importance_resampling")
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight of every document, and whether the draw keeps it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.resample(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 @register("op10_secret_scan")
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, as counts and spans."""
