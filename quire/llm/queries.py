@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import attribution, decontaminate, html_text, importance, license_scan, minhash, mixing, secret_scan, vectors
+from quire.llm import attribution, decontaminate, html_text, importance, license_scan, lm, minhash, mixing, secret_scan, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +56,12 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+@register("op6_lm_scores")
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under the base and the backoff model."""
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 @register("op7_license_scan")
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices in every document."""
