@@ -46,7 +46,10 @@ def add_columns(
     names = {f.name for f in fields}
     kept = [c for c in df.columns if c not in names]
     # Inputs travel under own names, so that an input may also be a replaced column.
-    work = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(inputs)])
+    prefix = "_in"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix = f"_{prefix}"
+    work = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(f"{prefix}{i}") for i, c in enumerate(inputs)])
     schema = T.StructType([*[work.schema[c] for c in kept], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +59,7 @@ def add_columns(
         kinds = [to_arrow_type(f.dataType) for f in fields]
         for b in batches:
             out: list[list] = [[] for _ in fields]
-            cols = [b.column(f"_in{i}") for i in range(len(inputs))]
+            cols = [b.column(f"{prefix}{i}") for i in range(len(inputs))]
             for r in range(b.num_rows):
                 for o, v in zip(out, row(*[c[r].as_py() for c in cols]), strict=True):
                     o.append(v)

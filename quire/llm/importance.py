@@ -192,3 +192,11 @@ def resample(docs: DataFrame, labels: DataFrame, text: str = "text", limit: int
         key, last = _kth_largest(weights, k)
         kept = (F.col("key") > key) | ((F.col("key") == key) & (tie >= last))
     return weighed.withColumn("kept", kept)
+
+
+def keep_drawn(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that the draw keeps, with the columns of ``docs`` alone, whatever their names."""
+    names = docs.columns
+    inner = [c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(names)]
+    drawn = resample(docs.toDF(*inner), labels, **options).where("kept")
+    return drawn.select(*[F.col(i).alias(c) for i, c in zip(inner, names, strict=True)])
