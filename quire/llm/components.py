@@ -2,11 +2,12 @@
 
 Every step is a minimum per node (combined before the shuffle) joined back to the links,
 so no node's neighbours meet in one task. Steps are written to the shared checkpoint
-folder; the loop ends when a round changes nothing.
+folder; the loop ends when all that is left are stars, each around its smallest node.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,12 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _print(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(links: DataFrame) -> bool:
+    """Whether every node has one link only, to a node without one of its own."""
+    if not links.groupBy("u").count().where("count > 1").isEmpty():
+        return False
+    centres = links.select(F.col("v").alias("centre")).distinct()
+    return links.join(centres, F.col("u") == F.col("centre"), "left_semi").isEmpty()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -40,13 +45,32 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pairs = links.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     pairs = stage_table(pairs, "links")
-    before = _print(pairs)
-    while True:
+    while not _stars(pairs):
         pairs = stage_table(_small_star(_large_star(pairs)), "links")
-        after = _print(pairs)
-        if after == before:
-            break
-        before = after
     # Every node but the smallest of its component now has one link, to that smallest node.
+    # ``pairs`` is a written table, so what follows is read and not worked out again.
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def forest(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Links of a graph with the same components as the links ``i - j`` (node numbers), at most one per node.
+
+    For a task's own links; ``components`` is for tables of them.
+    """
+    if not len(i):
+        return np.zeros((0, 2), np.int64)
+    nodes, flat = np.unique(np.concatenate([i, j]), return_inverse=True)
+    a, b = flat[: len(i)], flat[len(i) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    own = np.flatnonzero(label != np.arange(len(nodes)))
+    return np.stack([nodes[own], nodes[label[own]]], axis=1) if len(own) else np.zeros((0, 2), np.int64)

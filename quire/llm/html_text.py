@@ -35,7 +35,9 @@ BLOCKS = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header html main menu nav ol section span table td th tr ul li p a".split())
 #: Elements whose content is no text of the page.
-SILENT = frozenset("button canvas iframe noembed noframes noscript object option script select style svg template textarea title xmp".split())
+SILENT = frozenset("button canvas iframe noembed noframes noscript object script select style svg template textarea title xmp".split())
+#: Of these, the ones that reach to the end of the page if nothing closes them.
+RAW = frozenset("iframe noembed noframes script style textarea title xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUTSIDE_NAMES = frozenset("aside dialog footer form header menu nav".split())
 OUTSIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
@@ -116,13 +118,17 @@ def _speaks(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     return outside, article and not outside
 
 
+@functools.lru_cache(maxsize=32)
+def _closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's flat blocks in order, without empty ones."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # name, outside, article; both as of the element and those around it
     pieces: list[tuple[str, bool]] = []
     heading = linked = False
-    silent = ""
 
     def flush() -> None:
         nonlocal heading
@@ -136,21 +142,18 @@ def blocks_of(page: str) -> list[Block]:
         heading = False
 
     at = 0
-    for m in TOKEN.finditer(page):
-        if at < m.start() and not silent:
+    while m := TOKEN.search(page, at):
+        if at < m.start():
             pieces.append((page[at : m.start()], linked))
         at = m.end()
         if m[2] is None:
             continue
         name, closing = m[2].lower(), bool(m[1])
-        if silent:
-            if closing and name == silent:
-                silent = ""
-            continue
         if name in SILENT:
-            if not closing and not m[3].rstrip().endswith("/"):
-                silent = name
             pieces.append((" ", linked))
+            if not closing and not m[3].endswith("/"):
+                end = _closing(name).search(page, at)
+                at = end.end() if end else len(page) if name in RAW else at
             continue
         if name in BLOCKS:
             flush()
@@ -171,7 +174,7 @@ def blocks_of(page: str) -> list[Block]:
             own_outside, own_article = _speaks(name, m[3], article)
             # Boilerplate inside the article stays outside of the text; an article inside boilerplate is one.
             stack.append((name, outside or own_outside, (article or own_article) and not (outside or own_outside)))
-    if at < len(page) and not silent:
+    if at < len(page):
         pieces.append((page[at:], linked))
     flush()
     has_article = any(b.place for b in out)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.batches import add_columns, prepared
-from quire.llm.components import components
+from quire.llm.components import components, forest
 from quire.session import stage_table
 
 COSINE = 0.95
@@ -94,24 +94,6 @@ def _place(units: DataFrame, pivots: dict[int, np.ndarray], radius: float) -> Da
     return units.mapInArrow(run, "vid long, dim int, copies long, unit binary, home long, cells array<long>")
 
 
-def _forest(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Links of a graph with the same components as the links ``i - j`` (node numbers), at most one per node."""
-    nodes, flat = np.unique(np.concatenate([i, j]), return_inverse=True)
-    a, b = flat[: len(i)], flat[len(i) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    own = np.flatnonzero(label != np.arange(len(nodes)))
-    return np.stack([nodes[own], nodes[label[own]]], axis=1) if len(own) else np.zeros((0, 2), np.int64)
-
-
 def _meet(left: pd.DataFrame, right: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """Links of home rows ``left`` with candidates ``right``: per home row a count, and a forest of the links."""
     if not len(left) or not len(right):
@@ -129,15 +111,14 @@ def _meet(left: pd.DataFrame, right: pd.DataFrame, cosine: float) -> pd.DataFram
         keep = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 65536]], y[j[k : k + 65536]]) >= cosine for k in range(0, len(i), 65536)] or [np.zeros(0, bool)])
         i, j = i[keep], j[keep]
         np.add.at(n, i, copies[j])
-        edges.append(_forest(lid[i], rid[j]))
-    forest = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
-    if len(forest):
-        forest = _forest(forest[:, 0], forest[:, 1])
+        edges.append(forest(lid[i], rid[j]))
+    few = np.concatenate([*edges, np.zeros((0, 2), np.int64)])
+    few = forest(few[:, 0], few[:, 1])
     linked = np.flatnonzero(n)
     return pd.DataFrame({
-        "vid": np.concatenate([lid[linked], forest[:, 0]]),
-        "n": np.concatenate([n[linked], np.zeros(len(forest), np.int64)]),
-        "to": pd.array(np.concatenate([np.full(len(linked), -1), forest[:, 1]]), "Int64"),
+        "vid": np.concatenate([lid[linked], few[:, 0]]),
+        "n": np.concatenate([n[linked], np.zeros(len(few), np.int64)]),
+        "to": pd.array(np.concatenate([np.full(len(linked), -1), few[:, 1]]), "Int64"),
     })
 
 
