@@ -26,13 +26,15 @@ BASE_TABLES = (
 ).split()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a small text table over all cores; a table with splits for every core stays as it is.
+# Session setting: deal text tables out over so many partitions. For single-file test data only;
+# unset on a cluster, where the files' splits are the partitions.
+INPUT_PARTITIONS = "quire.input.partitions"
+
 
-    Per-row text work dominates its readers, and a small file is often a single row group.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out as the session says, if it says so."""
+    n = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 class Views:
@@ -157,14 +159,14 @@ class Views:
 
     @cached_property
     def md(self) -> DataFrame:
-        s = self.sentences.where("ord <= 2")
-        return s.groupBy("paper_id").agg(
+        """A summary that quotes the whole paper, one sentence a line, between its citations."""
+        body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda s: s.text), "\n")
+        return self.sentences.groupBy("paper_id").agg(
             F.concat(
-                F.lit("# t\n## 一句話結論\n"),
-                F.max(F.when(F.col("ord") == 1, F.col("text"))),
-                F.lit(" [[1.1, 1.2]] **x** [l](u)\n## b\nsee [1.2] and [[9.99]] [[2.1；1.1]]"),
+                F.lit("# t\n## 一句話結論\n"), F.max(F.when(F.col("ord") == 1, F.col("text"))),
+                F.lit(" [[1.1, 1.2]] **x** [l](u)\n## b\n"), body, F.lit("\nsee [1.2] and [[9.99]] [[2.1；1.1]]"),
             ).alias("md")
-        )
+        )
 
     # ------------------------------------------------- library, annotations ----
 
@@ -336,7 +338,7 @@ _SHARED = {
     "quiz_v": """select conv_id paper_id, turn qi, length(text)%4 answer, case when turn%5=0 then null else (length(text)+conv_id)%4 end chosen from conversations""",
     "registry_v": """select id, case when id%4=0 then null else doi end doi, journal, yr, id%97 first_page, concat(title, case when id%3=0 then ' extra' else '' end, ' ', cast(id as varchar)) title from works_v""",
     "hints_v": """select id, case when id%2=0 then null else doi end doi, case when id%5=0 then null else journal end journal, yr, case when id%7=0 then null else id%97 end first_page, concat(title,' ',cast(id as varchar)) title from works_v where id%3<>1""",
-    "md_v": """select paper_id, concat('# t',chr(10),'## 一句話結論',chr(10),max(case when ord=1 then text end),' [[1.1, 1.2]] **x** [l](u)',chr(10),'## b',chr(10),'see [1.2] and [[9.99]] [[2.1；1.1]]') md from sentences_v where ord<=2 group by paper_id""",
+    "md_v": """select paper_id, concat('# t',chr(10),'## 一句話結論',chr(10),max(case when ord=1 then text end),' [[1.1, 1.2]] **x** [l](u)',chr(10),'## b',chr(10),string_agg(text,chr(10) order by ord),chr(10),'see [1.2] and [[9.99]] [[2.1；1.1]]') md from sentences_v group by paper_id""",
 }
 
 DUCK_VIEWS = {

@@ -279,7 +279,8 @@ def assign_homes(parts: DataFrame) -> DataFrame:
     (first of equals); order is home block, then first position; ids are page.counter.
     """
     s = parts.groupBy("paper_id", "sentence").agg(
-        F.max_by(F.struct("block_no", "page"), F.struct(F.col("chars"), -F.col("at"))).alias("home"), F.min("at").alias("first_at")
+        # Most characters; of equals, the first place (which may be any ordered type).
+        F.min_by(F.struct("block_no", "page"), F.struct(-F.col("chars"), F.col("at"))).alias("home"), F.min("at").alias("first_at")
     )
     w = Window.partitionBy("paper_id", "page").orderBy("block_no", "first_at")
     s = s.select("paper_id", "sentence", "home.block_no", F.col("home.page").alias("page"), "first_at")

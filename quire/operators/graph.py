@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.expr import let
+from quire.operators.joins import left_join
 
 # Weight of each candidate source, in the order of the labels below.
 SOURCES = ("cites", "related", "ref", "topic", "search")
@@ -49,8 +50,7 @@ def flag_owned(works: DataFrame, library: DataFrame) -> DataFrame:
     """Work key, and whether the library holds the work's DOI (live rows only)."""
     dois = library.where("doi is not null").select(F.lower("doi").alias("doi_key")).distinct().withColumn("in_library", F.lit(True))
     return (
-        works.withColumn("doi_key", F.lower("doi"))
-        .join(dois, "doi_key", "left")
+        left_join(works.withColumn("doi_key", F.lower("doi")), dois, ["doi_key"], ["id"])
         .select(
             "id",
             F.coalesce(F.col("id").cast("string"), "doi", "title").alias("work_key"),

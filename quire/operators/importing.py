@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.joins import left_join
+
 # Job stages in order of progress.
 STAGES = ("queued", "parsing", "meta", "overview", "translating", "related", "onepager", "paused", "done", "error")
 
@@ -27,7 +29,8 @@ def resolve_imports(batch: DataFrame, library: DataFrame) -> DataFrame:
     lib = library.where("not deleted")
     by_hash = lib.where("hash is not null").groupBy("hash").agg(F.min("id").alias("same"))
     by_doi = lib.where("not has_file and doi is not null").groupBy(F.lower("doi").alias("_doi")).agg(F.min("id").alias("waiting"))
-    j = batch.withColumn("_doi", F.lower("doi")).join(by_hash, "hash", "left").join(by_doi, "_doi", "left")
+    j = batch.withColumn("_doi", F.lower("doi"))
+    j = left_join(left_join(j, by_hash, ["hash"], ["id"]), by_doi, ["_doi"], ["id"])
     return j.select(
         "id",
         F.when(F.col("same").isNotNull(), "existing").when(F.col("waiting").isNotNull(), "merge").otherwise("insert").alias("action"),
@@ -38,7 +41,7 @@ def resolve_imports(batch: DataFrame, library: DataFrame) -> DataFrame:
 def link_saved(saved: DataFrame, resolved: DataFrame) -> DataFrame:
     """Saved works get the paper id of the import with their DOI."""
     r = resolved.where("doi is not null").groupBy(F.lower("doi").alias("_doi")).agg(F.min("paper_id").alias("_paper"))
-    s = saved.withColumn("_doi", F.lower("doi")).join(r, "_doi", "left")
+    s = left_join(saved.withColumn("_doi", F.lower("doi")), r, ["_doi"], saved.columns)
     return s.withColumn("paper_id", F.coalesce("_paper", "paper_id")).drop("_doi", "_paper")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.similarity import clean_translation, is_untranslated_echo
 from quire.operators.sequence import page_batches
+from quire.session import stage_table
 from quire.sources.records import parse_lines
 
 # A caller gets the (sid, text) pairs of one batch and returns ``sid<TAB>text`` lines.
@@ -62,8 +63,11 @@ def ask_in_rounds(requested: DataFrame, ask: Callable[[DataFrame, int], DataFram
     missing = requested
     for r in range(rounds):
         new = accepted(ask(missing, r), missing, language, last_try=r > 0).withColumn("round", F.lit(r))
+        # Written, so that no later step or lost executor asks (and pays) again.
+        new = stage_table(new, "answers")
         got = new if got is None else got.unionByName(new)
-        missing = missing.join(new.select(*key), key, "left_anti")
+        if r + 1 < rounds:
+            missing = stage_table(missing.join(new.select(*key), key, "left_anti"), "missing")
     return got
 
 

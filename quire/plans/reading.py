@@ -385,8 +385,7 @@ def g9(v: Views):
 
 @query(
     "G10_ordered_string_aggregation",
-    """select paper_id, part, string_agg('['||color||'] '||sid||' '||note, chr(10) order by created_at, id) notes, count(*) n from
-       (select *, (row_number() over (partition by paper_id order by created_at, id)-1)//500 part from annotations_v where not deleted) group by all""",
+    """select paper_id, 0 part, string_agg('['||color||'] '||sid||' '||note, chr(10) order by created_at, id) notes, count(*) n from annotations_v where not deleted group by paper_id""",
 )
 def g10(v: Views):
     from quire.operators.library import joined_in_parts

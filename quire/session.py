@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,8 +23,28 @@ RUNTIME_SETTINGS = {
 }
 
 
+PACKAGE_ZIP = "quire_package.zip"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors, once per context: Python folds are pickled by name."""
+    sc = spark.sparkContext
+    if any(f.endswith(f"/{PACKAGE_ZIP}") for f in sc.listFiles):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), PACKAGE_ZIP)
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session made elsewhere (the cluster's, the driver's)."""
+    """Apply the runtime settings to a session made elsewhere (the cluster's, the driver's) and ship the package."""
+    ship_package(spark)
     for key, value in RUNTIME_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
@@ -39,6 +60,7 @@ def local_session(cpus: int | str = 8, app: str = "quire") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("QUIRE_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", str(cpus))
+        .config("quire.input.partitions", str(cpus))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")

@@ -26,8 +26,9 @@ def dump_tables(tables: dict[str, DataFrame]) -> DataFrame:
 
 def restore_table(dump: DataFrame, name: str, schema: T.StructType, key: Sequence[str], current: DataFrame) -> DataFrame:
     """Upsert a dumped table over the current one by key."""
-    rows = dump.where(F.col("tbl") == name).select(F.from_json("data", schema).alias("r")).select("r.*")
-    rows = rows.dropDuplicates(list(key))
+    rows = dump.where(F.col("tbl") == name).select("data", F.from_json("data", schema).alias("r"))
+    # Of rows with one key the largest counts, so that every restore gives the same table.
+    rows = rows.groupBy(*[F.col(f"r.{k}").alias(k) for k in key]).agg(F.max_by("r", "data").alias("r")).select("r.*")
     return current.join(rows.select(*key), list(key), "left_anti").unionByName(rows)
 
 

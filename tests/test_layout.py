@@ -28,9 +28,9 @@ def article(spark):
 
     for p in range(3):
         put(p, f"{518 + p}", 54, 40.0)
-        put(p, "RECOVERY AND WORK ENGAGEMENT", 200, 40.0)
-    words = "There is increas-", "ing empirical evidence that recovery matters for", "work engagement and it continues over the column"
-    put(0, "Effects of Recovery", 130, 100.0, font="B")
+        put(p, "TIDES AND HARBOUR TRAFFIC", 200, 40.0)
+    words = "Most gauges are calib-", "rated twice a year and their readings matter for", "harbour traffic which goes on over the column"
+    put(0, "Reading the Gauges", 130, 100.0, font="B")
     for i, t in enumerate(words):
         put(0, t, 54, 130.0 + 12 * i, w=240)
     put(0, "and then it ends in the right column. A new one starts", 318, 130.0, w=240)
@@ -50,12 +50,12 @@ def test_lines_join_runs_and_add_blanks(spark):
 
 def test_drop_cap(spark):
     i = items(spark, [
-        run(0, 0, "ustomer relations and more text in this line", 60, 100), run(0, 1, "C mantras of today. In their", 40, 112, fs=26.0, w=150),
+        run(0, 0, "uriosity about tides and more text in this line", 60, 100), run(0, 1, "C early observers had. In their", 40, 112, fs=26.0, w=150),
         run(0, 2, "plain body text that sets the size of the page to ten", 40, 124),
     ])
     out = {r.ix: r for r in Y.fix_drop_caps(i).collect()}
-    assert out[0].str.startswith("Customer") and out[0].x < 60
-    assert out[1].str == "mantras of today. In their" and out[1].fs <= 11.5
+    assert out[0].str.startswith("Curiosity") and out[0].x < 60
+    assert out[1].str == "early observers had. In their" and out[1].fs <= 11.5
     assert out[2].str.startswith("plain")
 
 
@@ -64,9 +64,9 @@ def test_document_model(spark):
     m = Y.build_document(i, pages)
     sents = m["sentences"].orderBy("ord").collect()
     texts = [s.text for s in sents]
-    assert "Effects of Recovery" in texts
-    assert any("There is increasing empirical evidence" in t for t in texts)
-    assert not any("RECOVERY AND WORK" in t for t in texts)
+    assert "Reading the Gauges" in texts
+    assert any("Most gauges are calibrated twice a year" in t for t in texts)
+    assert not any("TIDES AND HARBOUR" in t for t in texts)
     over = next(s for s in sents if s.text.startswith("A new one starts"))
     assert over.text.endswith("ends after all.")
     assert {s.sid for s in sents if s.kind == "heading"}
@@ -102,12 +102,12 @@ def test_outline_rules(spark):
 
 
 def test_citation_hints(spark):
-    lines = F.array(F.lit("Journal of Marketing Vol. 73 (March 2009), 70–87"), F.lit("© ISSN: 0022-2429 (print), 1547-7185 (electronic)"))
-    heads = F.array(F.struct(F.lit(14.0).alias("fs"), F.lit(0).alias("i"), F.lit("How Firms Build Trust").alias("text")))
+    lines = F.array(F.lit("Annals of Harbours Vol. 41 (June 1996), 12–33"), F.lit("© ISSN: 0022-2429 (print), 1547-7185 (electronic)"))
+    heads = F.array(F.struct(F.lit(14.0).alias("fs"), F.lit(0).alias("i"), F.lit("Where Gauges Stand").alias("text")))
     null = F.lit(None).cast("string")
     h = spark.range(1).select(B.citation_hints(lines, heads, null, null, null, F.lit(None).cast("int")).alias("h")).first().h
-    assert (h.volume, h.year, h.first_page) == ("73", 2009, "70")
-    assert h.issn == ["0022-2429", "1547-7185"] and h.titles == ["How Firms Build Trust"]
+    assert (h.volume, h.year, h.first_page) == ("41", 1996, "12")
+    assert h.issn == ["0022-2429", "1547-7185"] and h.titles == ["Where Gauges Stand"]
 
 
 def test_range_rects_merge_on_a_line(spark):
