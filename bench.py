@@ -19,6 +19,8 @@ HEADLINE = [
     "Q3_bilingual_search", "Q7_related_ranking", "G4_translation_progress", "G10_ordered_string_aggregation", "W4_batch_packing", "W8_overlap_segmentation",
     "X1_weighted_mode", "M1_lww_upsert", "M3_tombstone_cascade", "M4_union_merge_with_epoch", "M6_outbox_capture", "R1_continuous_lww_state", "R3_debounce_bursts",
     "S5_prompt_lines", "S7_ris_export",
+    "J1_linkage_cascade", "J3_fuzzy_title_top1", "L6_line_position_label", "L8_block_assembly", "L14_paragraph_flows", "L17_range_rectangles", "L25_document_model",
+    "S9_note_html", "T10_citation_rendering", "T17_glossary_relevance",
 ]
 
 

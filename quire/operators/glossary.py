@@ -22,23 +22,25 @@ def _spellings(terms: DataFrame) -> DataFrame:
 def first_occurrences(terms: DataFrame, sentences: DataFrame) -> DataFrame:
     """First sentence (reading order, labels skipped) of each paper that holds each term as whole words.
 
-    Sentences meet terms on the variant's first run of letters, so only sentences that
-    hold that word are checked; the winner per (paper, term) is a partial aggregate.
+    Sentences meet terms on the variant's first run of letters, or, if it has none (other
+    scripts, numbers), on its first two characters; only sentences that hold these are
+    checked, and the winner per (paper, term) is a partial aggregate.
     """
-    spell = _spellings(terms).withColumn("token", F.regexp_extract("variant", "[a-z]+", 0)).where("token <> ''")
+    word = F.regexp_extract("variant", "[a-z]+", 0)
+    spell = _spellings(terms).withColumn("token", F.when(word != "", word).otherwise(F.substring("variant", 1, 2)))
+    words = F.regexp_extract_all("low", F.lit("[a-z]+"), F.lit(0))
+    # All pairs of neighbours without a letter; they overlap, so they are looked ahead for.
+    others = F.regexp_extract_all("low", F.lit("(?s)(?=([^a-z]{2}))"), F.lit(1))
     tokens = (
         sentences.where("kind <> 'label'")
         .withColumn("low", F.lower("text"))
-        .select(
-            "paper_id", "sid", "ord", "low",
-            F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z]+"), F.lit(0)))).alias("token"),
-        )
-    )
+        .select("paper_id", "sid", "ord", "low", F.explode(F.array_distinct(F.concat(words, others))).alias("token"))
+    )
     padded = F.concat(F.lit(" "), "low", F.lit(" "))
     whole = F.concat(F.lit(r"[^a-z]\Q"), "variant", F.lit(r"\E[^a-z]"))
     return (
         tokens.join(spell, "token")
-        .where((F.col("token") == F.col("variant")) | F.rlike(padded, whole))
+        .where(((F.col("token") == F.col("variant")) & F.col("token").rlike("[a-z]")) | F.rlike(padded, whole))
         .groupBy("paper_id", "term")
         .agg(F.min_by("sid", "ord").alias("sid"))
     )
