@@ -38,13 +38,30 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-@register("op3_minhash_dedup")
+COMPONENT = """r as (select i a, i b from ids union select r.a, l.b from r join l on r.b = l.a)"""
+SHINGLE_SQL = rf"""with recursive
+ w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') a from documents),
+ s as (select doc_id, case when len(a) = 0 then [] when len(a) < 5 then [array_to_string(a, ' ')] else list_distinct([array_to_string(a[i:i+4], ' ') for i in range(1, len(a) - 3)]) end g from w),
+ u as (select doc_id, len(g) n, unnest(g) x from s),
+ p as (select a.doc_id i, b.doc_id j, any_value(a.n) n, any_value(b.n) m, count(*) c from u a join u b using (x) where a.doc_id < b.doc_id group by 1, 2),
+ e as (select i, j from p where 100 * c >= 75 * (n + m - c)),
+ l as (select i a, j b from e union all select j, i from e), ids as (select doc_id i from documents),
+ {COMPONENT}, c as (select a, min(b) m from r group by a)
+ select doc_id, len(g) n_shingles, m component_id, doc_id = m kept from s join c on c.a = s.doc_id"""
+VECTOR_SQL = f"""with recursive
+ v as (select vec_id, cast(embedding as double[]) e from embeddings),
+ l as (select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.95), ids as (select vec_id i from v),
+ {COMPONENT}, c as (select a, min(b) m from r group by a), n as (select a, count(*) k from l group by a)
+ select vec_id, coalesce(k, 0) n_links, m component_id, vec_id = m kept from v join c on c.a = vec_id left join n on n.a = vec_id"""
+
+
+@register("op3_minhash_dedup", SHINGLE_SQL)
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@register("op4_embedding_dedup")
+@register("op4_embedding_dedup", VECTOR_SQL)
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector at cosine 0.95."""
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))

@@ -9,6 +9,7 @@ from quire.session import stage_table
 from tests.llm.conftest import ODD_DOCS
 from tests.llm.test_dedup import brute_components
 from tests.llm.test_scans import brute_secrets
+from tests.oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = load()
@@ -54,6 +55,7 @@ def test_stages_on_odd_and_empty_documents(spark, odd_docs, no_docs, k):
 
 
 @pytest.mark.parametrize("name", [*QUERIES])
-def test_queries_run(spark, name):
-    rows = QUERIES[name](spark, SF).collect()
+def test_queries(spark, name):
+    ok, rows, _, note = compare(spark, duck(SF), SF, QUERIES[name], ORACLES.get(name))
+    assert ok is not False, note
     assert rows
