@@ -7,12 +7,14 @@ minimum of as many contiguous windows as it has shingles. 128 coordinates in 32
 4 miss a pair of similarity 0.75 with probability 5e-6.
 
 Documents with equal sets are one class from the start. Classes that share a band key
-meet in its bucket, but a bucket never emits all its pairs: in each round a few pivots
-(first the member that shares most buckets, then four times as many hashed members as in
-the round before) meet the members that are not yet in their component. Verified pairs
-merge components, and a bucket whose remaining members are all in one component is done.
-Every pair of a bucket is either compared or already connected when the loop ends, so no
-component is missed, and buckets of any size are spread over all tasks.
+meet in its bucket, but a bucket never emits its pairs. First its members meet one pivot,
+the member that shares most buckets, as copies resemble their original most; verified
+pairs become components. Buckets whose other members are not all in one component are
+then worked through whole: they are cut into blocks of bounded size, every pair of blocks
+is one group, compares its sets by counting common shingles as matrix products, and
+returns a spanning forest of its links. Every pair of a bucket is thus compared or
+already connected, so no component is missed, and buckets of any size are spread over
+all tasks.
 
 Rows: one result per document row. Null, empty and blank texts have no shingles and no
 links. A null id has no links and its document is kept. Rows that repeat an id get the
@@ -25,20 +27,22 @@ import functools
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.batches import add_columns, prepared
-from quire.llm.components import components
+from quire.llm.components import components, forest
 from quire.session import stage_table
 
 WORDS = 5  # words in a shingle
 PERCENT = 75  # least similarity, in hundredths
 UNIVERSE = 1 << 20  # positions that shingles hash to
 BANDS, ROWS = 32, 4
-GROWTH = 4  # pivots of a round against those of the round before
+BLOCK_SHINGLES, BLOCK_ROWS = 150_000, 1024  # of a block of a bucket, about
+COLUMNS = 2048  # shingles that are counted at once
 SEED = 20_240_607
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -144,13 +148,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         pairs.join(left, "a").join(right, "b")
         .select("a", "b", common.alias("common"), "sa", "sb")
         .select("a", "b", (100 * F.col("common") >= PERCENT * union).alias("linked"))
-        .groupBy("a", "b").agg(F.max("linked").alias("linked"))
     )
 
 
 def linked_classes(classes: DataFrame, texts: DataFrame) -> DataFrame:
     """``(node, component)`` of the classes ``(cid, n_shingles, bands)`` that are linked with another one."""
-    spark = classes.sparkSession
     banded = classes.select("cid", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     crowded = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     items = stage_table(banded.join(crowded, "key"), "buckets")
@@ -161,43 +163,81 @@ def linked_classes(classes: DataFrame, texts: DataFrame) -> DataFrame:
     sets = add_columns(wanted, ["text"], [T.StructField("shingles", T.ArrayType(T.LongType()))], _sets).drop("text")
     sets = stage_table(sets.where(F.size("shingles") > 0), "sets")
 
-    # Where a member stands among the pivots: 0 is first, then by hash.
     first = items.groupBy("key").agg(F.max_by("cid", F.struct("met", -F.col("cid"))).alias("pivot"))
-    turn = F.when(F.col("cid") == F.col("pivot"), -1.0).otherwise(
-        F.pmod(F.xxhash64("cid", "key"), F.lit(1 << 40)) / float(1 << 40) * F.col("members")
-    )
-    active = stage_table(items.join(first, "key").select("key", "cid", "n", turn.alias("turn")), "active")
-    links = tested = None
-    labels = None
-    low, high = -2.0, 0.0
-    while not active.isEmpty():
-        state = active if labels is None else active.join(labels, active["cid"] == labels["node"], "left").drop("node")
-        if labels is None:
-            state = state.withColumn("component", F.col("cid"))
-        state = state.withColumn("component", F.coalesce("component", "cid"))
-        p = state.where(F.col("turn") < high).select("key", F.col("cid").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"), F.col("turn").alias("pt"))
-        met = (
-            state.join(p, "key")
-            .where((F.col("component") != F.col("pc")) & (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")))
-            # Two pivots of a round meet once.
-            .where((F.col("turn") >= high) | (F.col("p") < F.col("cid")))
-            .select(F.least("p", "cid").alias("a"), F.greatest("p", "cid").alias("b"))
-            .distinct()
-        )
-        if tested is not None:
-            met = met.join(tested, ["a", "b"], "left_anti")
-        seen = stage_table(verified(stage_table(met, "pairs"), sets), "verified")
-        failed, new = seen.where("not linked").select("a", "b"), seen.where("linked").select("a", "b")
-        tested = failed if tested is None else tested.unionByName(failed)
-        links = new if links is None else links.unionByName(new)
-        labels = stage_table(components(links), "labels")
-        # Pivots have met their buckets. Of the rest, buckets within one component are done.
-        rest = active.where(F.col("turn") >= high).join(labels, F.col("cid") == F.col("node"), "left")
-        rest = rest.withColumn("component", F.coalesce("component", "cid"))
-        open_keys = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        active = stage_table(rest.join(open_keys, "key", "left_semi").select("key", "cid", "n", "turn"), "active")
-        low, high = high, max(1.0, high * GROWTH + 1)
-    return labels if labels is not None else spark.createDataFrame([], "node long, component long")
+    items = stage_table(items.join(first, "key").select("key", "cid", "n", "pivot"), "members")
+    pn = items.where("cid = pivot").select(F.col("key").alias("k"), F.col("n").alias("pn"))
+    met = (
+        items.where("cid <> pivot").join(pn, F.col("key") == F.col("k"))
+        .where(100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn"))
+        .select(F.least("pivot", "cid").alias("a"), F.greatest("pivot", "cid").alias("b")).distinct()
+    )
+    links = stage_table(verified(stage_table(met, "pairs"), sets).where("linked").select("a", "b"), "verified")
+    labels = components(links)
+
+    rest = items.where("cid <> pivot").join(labels, F.col("cid") == F.col("node"), "left")
+    rest = rest.select("key", "cid", "n", F.coalesce("component", "cid").alias("component"))
+    split = rest.groupBy("key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"),
+        F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"),
+    ).where("lo <> hi").select("key", "blocks")
+    opened = stage_table(rest.join(split, "key").select("key", "blocks", "cid", "component"), "open")
+    if opened.isEmpty():
+        return labels
+    more = stage_table(block_links(opened, sets), "links")
+    return components(links.unionByName(more))
+
+
+def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` that connect what the pairs within a bucket connect; ``members`` (key, blocks, cid, component)."""
+    block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "cid", "component", "block", F.least("block", "other").alias("l"), F.greatest("block", "other").alias("r"))
+    # The set travels once to the member's rows and with each of them to its pair of blocks.
+    own = sets.join(members.select("cid").distinct(), "cid", "left_semi")
+    return dealt.join(own, "cid").groupBy("key", "l", "r").applyInArrow(_block_links, "a long, b long")
+
+
+def _block_links(group: pa.Table) -> pa.Table:
+    l, r = group.column("l")[0].as_py(), group.column("r")[0].as_py()
+    cid, comp, block = (np.asarray(group.column(c)) for c in ("cid", "component", "block"))
+    lists = group.column("shingles").combine_chunks()
+    ends = np.asarray(lists.offsets)
+    sizes, values = np.diff(ends), np.asarray(lists.values)[ends[0] : ends[-1]]
+    row = np.repeat(np.arange(len(cid)), sizes)
+    left, right = np.flatnonzero(block == l), np.flatnonzero(block == r)
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    if not len(left) or not len(right):
+        return none
+    place = np.zeros(len(cid), np.int64)
+    place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+    # Shingles that both sides have, as columns; each side's entries in order of columns.
+    both, columns = np.unique(values, return_inverse=True)
+    in_left, in_right = (np.isin(block[row], x) for x in (l, r))
+    shared = np.zeros(len(both), bool)
+    shared[columns[in_left]] = True
+    other = np.zeros(len(both), bool)
+    other[columns[in_right]] = True
+    shared &= other
+    number = np.cumsum(shared) - 1
+    sides = []
+    for side in (in_left, in_right):
+        at = np.flatnonzero(side & shared[columns])
+        at = at[np.argsort(number[columns[at]], kind="stable")]
+        sides.append((number[columns[at]], place[row[at]]))
+    common = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(shared.sum()), COLUMNS):
+        tables = []
+        for (column, where), n in zip(sides, (len(left), len(right)), strict=True):
+            i, j = np.searchsorted(column, [start, start + COLUMNS])
+            t = np.zeros((n, COLUMNS), np.float32)
+            t[where[i:j], column[i:j] - start] = 1
+            tables.append(t)
+        common += tables[0] @ tables[1].T
+    union = sizes[left][:, None] + sizes[right][None, :] - common
+    linked = (100 * common >= PERCENT * union) & (comp[left][:, None] != comp[right][None, :])
+    i, j = np.nonzero(linked)
+    edges = forest(cid[left[i]], cid[right[j]])
+    return pa.table({"a": edges[:, 0], "b": edges[:, 1]}) if len(edges) else none
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
