@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.expr import let
 from quire.operators.joins import left_join
+from quire.operators.linkage import match_journals
 
 # Weight of each candidate source, in the order of the labels below.
 SOURCES = ("cites", "related", "ref", "topic", "search")
@@ -64,10 +65,21 @@ def not_owned(works: DataFrame, owned: DataFrame) -> DataFrame:
     return works.join(o, F.lower(works.doi) == F.col("_o"), "left_anti")
 
 
-def trending(works: DataFrame, journals: DataFrame, owned: DataFrame, since: int, types: tuple[str, ...] = ARTICLE_TYPES, k: int = 15) -> DataFrame:
-    """Most cited recent whitelisted articles the library does not hold; a global top-k."""
+def with_tier(works: DataFrame, journals: DataFrame, only_listed: bool) -> DataFrame:
+    """``works`` with the ``tier`` of the listed journal they match by ISSN or name; unlisted ones go, or have none."""
+    none = F.lit(None).cast("array<string>")
+    w = works if "issn" in works.columns else works.withColumn("issn", none)
+    j = journals if "issn" in journals.columns else journals.withColumn("issn", none)
+    tiers = match_journals(w.select("id", "journal", "issn"), j).select("id", "tier")
+    return works.join(tiers.where("tier is not null"), "id", "inner" if only_listed else "left")
+
+
+def trending(
+    works: DataFrame, journals: DataFrame, owned: DataFrame, since: int, types: tuple[str, ...] = ARTICLE_TYPES, k: int = 15, only_listed: bool = True
+) -> DataFrame:
+    """Most cited recent articles (of listed journals, unless told otherwise) the library does not hold; a global top-k."""
     pool = works.where((F.col("yr") >= since) & F.col("wtype").isin(*types))
-    pool = not_owned(pool.join(journals.select(F.col("name").alias("journal"), "tier"), "journal"), owned)
+    pool = with_tier(not_owned(pool, owned), journals, only_listed)
     return pool.orderBy(F.desc("cited_by"), "id").limit(k).select(
         "id", "cited_by", "tier", F.concat(F.lit("近三年，被引用 "), F.col("cited_by").cast("string"), F.lit(" 次")).alias("reason")
     )
@@ -110,18 +122,19 @@ def candidates(edges: DataFrame, works: DataFrame, given: DataFrame, max_citing:
 
 def rank_related(
     cands: DataFrame, works: DataFrame, journals: DataFrame, owned: DataFrame, year: int,
-    types: tuple[str, ...] = ARTICLE_TYPES, rescored: DataFrame | None = None, pool: int = 30, k: int = 20,
+    types: tuple[str, ...] = ARTICLE_TYPES, rescored: DataFrame | None = None, pool: int = 30, k: int = 20, only_listed: bool = True,
 ) -> DataFrame:
     """Related works per seed: score the source set, citations, tier and age; keep a pool, normalise, top ``k``.
 
-    ``rescored`` (seed, work, score) replaces pool scores where present, clamped to 0-100.
+    ``rescored`` (seed, work, score[, reason]) replaces pool scores and reasons where present,
+    scores clamped to 0-100. Works outside the journal list go, or stay without a tier's bonus.
     """
     sets = cands.where("seed <> work").groupBy("seed", "work").agg(F.bit_or(source_mask(F.col("source"))).alias("mask"))
     meta = not_owned(works.where(F.col("wtype").isNull() | F.col("wtype").isin(*types)), owned)
-    meta = meta.join(journals.select(F.col("name").alias("journal"), "tier"), "journal")
+    meta = with_tier(meta, journals, only_listed)
     extra = (
         F.log10(F.col("cited_by") + 1.0)
-        + F.when(F.col("tier") == 1, 2.0).when(F.col("tier") == 2, 1.5).otherwise(0.5)
+        + F.when(F.col("tier") == 1, 2.0).when(F.col("tier") == 2, 1.5).when(F.col("tier").isNotNull(), 0.5).otherwise(0.0)
         + F.when(F.col("yr").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - (F.lit(year) - F.col("yr")) / 25.0))
     )
     meta = meta.select(F.col("id").alias("work"), extra.alias("extra"), "tier")
@@ -129,11 +142,13 @@ def rank_related(
     scored = sets.join(meta, "work").withColumn("pre", F.round(pre, 9))
     best = top_k(scored, ["seed"], [F.col("pre").desc(), F.col("work")], pool, "_r")
     best = best.withColumn("score", max_normalised(F.col("pre"), ["seed"]))
+    best = best.withColumn("reason", reason(F.col("mask")))
     if rescored is not None:
-        r = rescored.select("seed", "work", F.greatest(F.lit(0), F.least(F.lit(100), F.floor(F.col("score") + 0.5))).alias("_new"))
-        best = best.join(r, ["seed", "work"], "left").withColumn("score", F.coalesce("_new", "score"))
+        said = F.col("reason") if "reason" in rescored.columns else F.lit(None).cast("string")
+        r = rescored.select("seed", "work", F.greatest(F.lit(0), F.least(F.lit(100), F.floor(F.col("score") + 0.5))).alias("_new"), said.alias("_said"))
+        best = best.join(r, ["seed", "work"], "left").withColumn("score", F.coalesce("_new", "score")).withColumn("reason", F.coalesce("_said", "reason"))
     return top_k(best, ["seed"], [F.col("score").desc(), F.col("_r")], k).select(
-        "seed", "rank", "work", "score", "tier", reason(F.col("mask")).alias("reason")
+        "seed", "rank", "work", "score", "tier", "reason"
     )
 
 

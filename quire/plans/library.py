@@ -105,6 +105,15 @@ def q6(v: Views):
     return G.trending(v.works, v.journals, owned(v), 2021, TYPES)
 
 
+@query(
+    "Q6_trending_all_journals",
+    f"""with {OWNED} select w.id, cited_by, tier, '近三年，被引用 '||cast(cited_by as varchar)||' 次' reason from works_v w left join journals_v j on j.name=w.journal
+       where yr >= 2021 and wtype in ({_TYPES}) and (doi is null or doi not in (select doi from owned)) order by cited_by desc, w.id limit 15""",
+)
+def q6_all(v: Views):
+    return G.trending(v.works, v.journals, owned(v), 2021, TYPES, only_listed=False)
+
+
 RELATED_SQL = f"""{OWNED},
  citing as (select dst seed, src work from edges_v join works_v on id=src qualify row_number() over (partition by dst order by cited_by desc, src) <= 30),
  refs as (select src seed, dst work from edges_v qualify row_number() over (partition by src order by dst) <= 50),
@@ -135,6 +144,19 @@ def q7(v: Views):
     return G.rank_related(related_candidates(v), v.works, v.journals, owned(v), 2024, TYPES)
 
 
+@query(
+    "Q7_related_rescored",
+    f"""with {RELATED_SQL.replace("when 2 then 1.5 else 0.5 end", "when 2 then 1.5 when 3 then 0.5 else 0 end").replace("join journals_v j on", "left join journals_v j on")},
+     again as (select seed, r, work, tier, case when (seed+work)%5=0 then least(100, work%130)::bigint else score end score, case when (seed+work)%5=0 then 'asked' else reason end reason from norm)
+     select seed, row_number() over (partition by seed order by score desc, r) rank, work, score, tier, reason from again qualify rank <= 20""",
+)
+def q7_rescored(v: Views):
+    """All journals; an outside score and its reason replace every fifth pair's own."""
+    pairs = related_candidates(v)
+    again = pairs.where("(seed + work) % 5 = 0").select("seed", "work").distinct().select("seed", "work", (F.col("work") % 130).alias("score"), F.lit("asked").alias("reason"))
+    return G.rank_related(pairs, v.works, v.journals, owned(v), 2024, TYPES, rescored=again, only_listed=False)
+
+
 @query(
     "W9_max_normalised_score",
     "select id, floor(cited_by / greatest(1.0, max(cited_by) over (partition by journal)) * 80 + 0.5)::bigint score from works_v",

@@ -71,13 +71,6 @@ def r3s(v: Views):
     )
 
 
-@query("R4_idle_sources", "select event_type as source, count(*) lines from ev_v group by 1")
-def r4(v: Views):
-    # Every batch reports the running count of the sources it holds; the last report counts all lines.
-    lines = event_stream(v).select(F.col("event_type").alias("source"), "event_id")
-    return L.drain(L.idle_sources(lines, "source"), "append", "idle").groupBy("source").agg(F.max("lines").alias("lines"))
-
-
 @query("R5_micro_batched_upsert", LATEST)
 def r5(v: Views):
     base = f"{ensure_checkpoint_dir(v.spark).rstrip('/')}/upsert-{uuid.uuid4().hex}"
