@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.session import ship_package
+
 # Documents may hold hundreds of thousands of characters, so a batch holds few rows.
 ROWS_PER_BATCH = 1000
 
@@ -20,18 +18,7 @@ ROWS_PER_BATCH = 1000
 def prepared(spark: SparkSession) -> SparkSession:
     """Ship the package to the executors once per context and keep Arrow batches small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
-    sc = spark.sparkContext
-    if not any(f.endswith("/quire_package.zip") for f in sc.listFiles):
-        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "quire_package.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for folder, _, names in os.walk(os.path.join(root, "quire")):
-                for n in names:
-                    if n.endswith(".py"):
-                        full = os.path.join(folder, n)
-                        z.write(full, os.path.relpath(full, root))
-        sc.addPyFile(path)
-        SparkFiles.get("quire_package.zip")
+    ship_package(spark)
     return spark
 
 
