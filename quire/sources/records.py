@@ -21,10 +21,6 @@ REGISTRY_SCHEMA = """DOI string, title array<string>, author array<struct<given:
  issued struct<`date-parts`:array<array<int>>>, type string"""
 MANAGER_SCHEMA = """key string, itemType string, title string, creators array<struct<creatorType:string,firstName:string,lastName:string,name:string>>,
  date string, publicationTitle string, ISSN string, volume string, issue string, pages string, DOI string, abstractNote string, url string"""
-WORK_COLUMNS = (
-    "id", "doi", "title", "authors", "year", "journal", "issn", "volume", "issue", "first_page", "last_page",
-    "cited_by", "oa_pdf", "oa_url", "landing", "abstract", "type",
-)
 
 
 def short_id(id_: Column) -> Column:
