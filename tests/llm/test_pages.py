@@ -17,6 +17,7 @@ CASES = [
     ("<main><form><p>name</p><input></form><p>Text <b>bold</b> <a href=x>link</a></p></main>", "Text bold link"),
     ("<article><p>cut off in the mid", "cut off in the mid"), ("<article><p>cut off in a tag</p><a hre", "cut off in a tag"),
     ("<article><P CLASS='lead'>upper</P><div hidden>no</div></ARTICLE>", "upper"),
+    ("<article><p>one</p><p class='x>two</p></article>", "one\ntwo"), ("<article><p>it's 3 < 4 and \"so\"</p></article>", "it's 3 < 4 and \"so\""),
     ("<article><p>a</p></article><div>" + "<div>" * 3000 + "deep", "a"),
 ]
 
