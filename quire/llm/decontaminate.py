@@ -8,9 +8,13 @@ windows are written as a table first, so Spark sees its size and broadcasts it o
 the session's limit; a larger one is joined by a shuffle of hashes.
 
 An item counts as leaked into a document if at least ``COVERAGE`` of its windows occur in
-it and the slots are consistent: wherever windows meet, one value of the item always
-stands for the same value in the document. An item asked again with other numbers or
-names is caught, a text that only shares the phrases is not.
+one place of it and the slots are consistent there: wherever windows meet, one value of
+the item always stands for the same value in the document. A place is a shift (position
+in the document less position in the item), a run of shifts with no gap of more than half
+an item (an occurrence with words put in or left out), or the whole document (an item in
+scattered parts); one that passes is enough, so copies of an item with different values do
+not spoil each other. An item asked again with other numbers or names is caught, a text
+that only shares the phrases is not.
 
 Items of fewer than eight words are one window of their own length, and documents are
 also cut into windows of just those lengths. Rows: null and empty texts have no windows;
@@ -22,7 +26,7 @@ read by the search and are kept by the filter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.session import stage_table
@@ -71,6 +75,25 @@ def windows(words: Column, sizes: list[int]) -> Column:
     return F.flatten(F.transform(F.array(hashed), lambda h: F.concat(*[of(s, h) for s in sizes])))
 
 
+def _places(met: DataFrame) -> DataFrame:
+    """``met`` once per place it belongs to: its shift, its run of near shifts, and the whole document."""
+    key = ["doc_id", "item_id"]
+    shifts = met.select(*key, "n_words", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    by_shift = Window.partitionBy(*key).orderBy("shift")
+    new = F.col("shift") - F.lag("shift").over(by_shift) > F.col("n_words") / 2
+    runs = shifts.withColumn("new", F.coalesce(new, F.lit(False)).cast("int")).withColumn("run", F.sum("new").over(by_shift)).select(*key, "shift", "run")
+    # Where a pair has one shift only, the three kinds are one.
+    runs = runs.withColumn("n_runs", F.max("run").over(Window.partitionBy(*key)) + 1).withColumn("n_shifts", F.count("*").over(Window.partitionBy(*key)))
+    kinds = F.array(
+        F.struct(F.lit("all").alias("kind"), F.lit(0).cast("long").alias("at")),
+        F.when(F.col("n_runs") > 1, F.struct(F.lit("run").alias("kind"), F.col("run").cast("long").alias("at"))),
+        F.when(F.col("n_shifts") > 1, F.struct(F.lit("shift").alias("kind"), F.col("shift").cast("long").alias("at"))),
+    )
+    placed = met.withColumn("shift", F.col("pos") - F.col("item_pos")).join(runs, [*key, "shift"])
+    placed = placed.select(*key, "pos", "item_pos", "size", "n_words", "slots", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k"))
+    return stage_table(placed.select("*", "k.kind", "k.at").drop("k"), "places")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """``(doc_id, item_id, n_windows, n_matched, coverage, n_slots)`` of every leaked item."""
     items = benchmark.where("item_id is not null and text is not null").select("item_id", template_words(F.col("text")).alias("words")).where(F.size("words") > 0)
@@ -86,32 +109,37 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     texts = docs.where("doc_id is not null").select("doc_id", template_words(F.col("text")).alias("words"))
     cut = texts.select("doc_id", F.explode(windows(F.col("words"), sizes)).alias("w")).select("doc_id", "w.pos", "w.size", "w.h")
     met = cut.join(own.select("h", "size", "item_id", "item_pos", "n_words", F.size("item_slots").alias("slots")), ["h", "size"])
-    met = stage_table(met.select("doc_id", "pos", "size", "item_id", "item_pos", "n_words", "slots"), "matches")
-    n_windows = F.first(F.col("n_words") - F.col("size") + 1)
-    pairs = met.groupBy("doc_id", "item_id").agg(
-        n_windows.alias("n_windows"), F.countDistinct("item_pos").alias("n_matched"), F.max("slots").alias("slots")
+    met = stage_table(met.select("doc_id", "pos", "size", "item_id", "item_pos", "n_words", "slots").distinct(), "matches")
+    places = _places(met)
+    keys = ["doc_id", "item_id", "kind", "at"]
+    pairs = places.groupBy(*keys).agg(
+        F.first(F.col("n_words") - F.col("size") + 1).alias("n_windows"), F.countDistinct("item_pos").alias("n_matched"), F.max("slots").alias("slots")
     )
     pairs = stage_table(pairs.where(F.col("n_matched") >= coverage * F.col("n_windows")), "covered")
 
     # Slots: only pairs that have some go back to the texts for the values.
-    asked = met.join(pairs.where("slots > 0").select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").where("slots > 0")
+    asked = met.join(pairs.where("slots > 0").select("doc_id", "item_id").distinct(), ["doc_id", "item_id"], "left_semi").where("slots > 0")
     asked = stage_table(asked.select("doc_id", "item_id", "pos", "item_pos", "size"), "slots")
     wanted = docs.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", template_words(F.col("text")).alias("words"))
     here = F.filter(F.slice("words", F.col("pos") + 1, F.col("size")), is_slot)
     there = own.select("item_id", "item_pos", "item_slots")
-    values = (
+    met_values = (
         wanted.join(asked, "doc_id").join(there, ["item_id", "item_pos"])
         .where(F.size(here) == F.size("item_slots"))
-        .select("doc_id", "item_id", F.explode(F.arrays_zip(F.col("item_slots").alias("a"), here.alias("b"))).alias("v"))
-        .groupBy("doc_id", "item_id", F.col("v.a").alias("a")).agg(F.count_distinct("v.b").alias("n"))
-        .groupBy("doc_id", "item_id").agg(F.count("*").alias("n_slots"), F.max("n").alias("most"))
+        .select("doc_id", "item_id", "pos", "item_pos", F.explode(F.arrays_zip(F.col("item_slots").alias("a"), here.alias("b"))).alias("v"))
+        .select("doc_id", "item_id", "pos", "item_pos", "v.a", "v.b")
     )
-    return (
-        pairs.drop("slots").join(values, ["doc_id", "item_id"], "left").where("most is null or most = 1")
-        .select(
-            "doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), "n_matched",
-            (F.col("n_matched") / F.col("n_windows")).alias("coverage"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"),
-        )
+    values = (
+        met_values.join(places.join(pairs.where("slots > 0").select(*keys), keys, "left_semi").select(*keys, "pos", "item_pos"), ["doc_id", "item_id", "pos", "item_pos"])
+        .groupBy(*keys, "a").agg(F.count_distinct("b").alias("n"))
+        .groupBy(*keys).agg(F.count("*").alias("n_slots"), F.max("n").alias("most"))
+    )
+    # Of the places that are covered and consistent, the one with the most windows stands for the pair.
+    best = F.max(F.struct("n_matched", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), "n_windows")).alias("best")
+    found = pairs.drop("slots").join(values, keys, "left").where("most is null or most = 1").groupBy("doc_id", "item_id").agg(best)
+    return found.select(
+        "doc_id", "item_id", F.col("best.n_windows").cast("long").alias("n_windows"), "best.n_matched",
+        (F.col("best.n_matched") / F.col("best.n_windows")).alias("coverage"), "best.n_slots",
     )
 
 

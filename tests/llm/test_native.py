@@ -129,6 +129,22 @@ def test_leaks(spark, docs_of):
     assert decontaminate.find_leaks(docs.limit(0), items).count() == 0
 
 
+CHANGED = "a train leaves the station with 46 people and after 9 stops it has 17 people left on board"
+COPIES = [
+    (30, ITEMS[0][1] + " . " + CHANGED, {1}), (31, CHANGED + " and " + CHANGED.replace("46", "50").replace("17", "2"), {1}),
+    (32, ITEMS[0][1] + " . later on it has 99 people left on board", {1}), (33, ITEMS[6][1] + " . " + ITEMS[6][1].replace("5 pears", "8 pears"), {6}),
+    # Words put into both copies; one value for two in every copy.
+    (34, " filler ".join(" ".join(t.split()[i : i + 10] if i < 10 else t.split()[10:]) for t in (ITEMS[0][1], CHANGED) for i in (0, 10)), {1}),
+    (35, " and ".join("on the table lie %d apples and %d pears and 2 plums so how many fruits are on it" % x for x in ((9, 8), (7, 6))), set()),
+]
+
+
+def test_an_item_twice_with_different_values(spark, docs_of):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    rows = decontaminate.find_leaks(docs_of([(i, t) for i, t, _ in COPIES]), items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == sorted((i, k) for i, _, s in COPIES for k in s)
+
+
 def test_leaks_in_the_given_documents(spark):
     """Documents that hold a benchmark text word for word are found; what is found shares most words with its item."""
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
