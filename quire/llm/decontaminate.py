@@ -3,7 +3,11 @@
 A text becomes a template: numbers, names (capitalised words inside a sentence) and units
 after numbers turn into typed placeholders that remember their value; the rest is
 lower-cased words. Every window of eight template words is hashed, values left out, and
-the windows of the documents are hash-joined with those of the benchmark. The benchmark's
+the windows of the documents are hash-joined with those of the benchmark. Which capital is
+a name cannot be told for sure, so there are three templates: names as above; no names, all
+words lower-cased (exact copies after any word, in any case and with any white space); and
+opening capitals of sentences as names too, in windows of which at least half the words are
+fixed. Each is judged by itself, and one that passes is enough. The benchmark's
 windows are written as a table first, so Spark sees its size and broadcasts it only below
 the session's limit; a larger one is joined by a shuffle of hashes.
 
@@ -44,11 +48,15 @@ MARK = "\x01"
 NUMBER = "[0-9]+(?:[.,:/][0-9]+)*"
 # After a lower-case letter or a comma and a space, a capital starts a name and not a sentence.
 NAME = "(?<=[\\p{Ll}0-9,;]\\x20)\\p{Lu}[\\p{L}\\p{M}'-]*"
+OPENING = f"(?<![\\p{{L}}\\p{{M}}\\p{{N}}{MARK}'-])\\p{{Lu}}[\\p{{L}}\\p{{M}}]*"
+#: Slots of the three templates, by type: as marked, names as words, capitals that open a sentence as names.
+TEMPLATES = ("nua", "nu", "nuac")
 
 
 def template_words(text: Column) -> Column:
-    """Words of the template. A placeholder is the mark, its type (n, a, u) and the value."""
-    t = F.regexp_replace(F.regexp_replace(text, MARK, " "), NAME, f" {MARK}a$0 ")
+    """Words of the text. A placeholder is the mark, its type (n, a, u; c for a capital that opens a sentence) and the value."""
+    t = F.regexp_replace(F.regexp_replace(text, f"[\\s\\p{{Z}}{MARK}]+", " "), NAME, f" {MARK}a$0 ")
+    t = F.regexp_replace(t, OPENING, f" {MARK}c$0 ")
     # Digits inside a name stay with it: a placeholder's value has no number of its own.
     t = F.regexp_replace(t, f"(?<![\\p{{L}}\\p{{M}}0-9{MARK}]){NUMBER}", f" {MARK}n$0 ")
     t = F.regexp_replace(t, f"(?i)({MARK}n\\S+\\s+)({'|'.join(UNITS)})(?![\\p{{L}}\\p{{M}}0-9])", f"$1{MARK}u$2 ")
@@ -56,28 +64,50 @@ def template_words(text: Column) -> Column:
     return F.filter(words, lambda w: (w != "") & (w != MARK))
 
 
-def is_slot(word: Column) -> Column:
-    return F.startswith(word, F.lit(MARK))
+def is_slot(word: Column, types: str = TEMPLATES[-1]) -> Column:
+    return F.startswith(word, F.lit(MARK)) & F.substring(word, 2, 1).isin(*types)
 
 
 def windows(words: Column, sizes: list[int]) -> Column:
-    """Array of ``(pos, size, h)``: all windows of the given sizes, hashed without the slots' values."""
-    hashed = F.transform(words, lambda w: F.xxhash64(F.when(is_slot(w), F.left(w, F.lit(2))).otherwise(w)))
+    """Array of ``(pos, size, h, mask)``: all windows of the given sizes, hashed without the slots' values.
+
+    A window has one hash per template, equal ones once; bit k of ``mask`` says that h is that of template k.
+    """
+    # Per word its hash in every template: the value's, or that of the slot's type (a capital's is a name's).
+    def hashed(w: Column) -> Column:
+        marked, kind = F.startswith(w, F.lit(MARK)), F.substring(w, 2, 1)
+        plain = F.xxhash64(F.when(marked, F.substring(w, 3, 1 << 30)).otherwise(w))
+        slot = F.xxhash64(F.concat(F.lit(MARK), F.when(kind == "c", "a").otherwise(kind)))
+        return F.struct(*[F.when(marked & kind.isin(*types), slot).otherwise(plain).alias(f"t{k}") for k, types in enumerate(TEMPLATES)])
 
     def of(size: int, h: Column) -> Column:
-        last = F.size(h) - size
+        last = F.size(h["t0"]) - size
         at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(
-            at, lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.xxhash64(*[F.get(h, i + k) for k in range(size)]).alias("h"))
-        )
+
+        def at_pos(i: Column) -> Column:
+            a, b, c = (F.xxhash64(*[F.get(h[f"t{k}"], i + j) for j in range(size)]) for k in range(3))
+            return F.struct(i.alias("pos"), F.lit(size).alias("size"), F.array(a, b, c).alias("h"))
+
+        return F.transform(at, at_pos)
 
     # The hashed words are bound once for all sizes.
-    return F.flatten(F.transform(F.array(hashed), lambda h: F.concat(*[of(s, h) for s in sizes])))
+    arrays = F.transform(F.array(F.transform(words, hashed)), lambda h: F.struct(*[h[f"t{k}"].alias(f"t{k}") for k in range(3)]))
+    return F.flatten(F.transform(arrays, lambda h: F.concat(*[of(s, h) for s in sizes])))
+
+
+def _hashes(cut: DataFrame) -> DataFrame:
+    """``cut`` with a row per distinct hash of ``w``, as ``h`` and ``mask``."""
+    h = [F.get("w.h", F.lit(k)) for k in range(3)]
+    bits = lambda k: sum((F.when(h[j] == h[k], 1 << j).otherwise(0) for j in range(3)), F.lit(0))
+    each = [F.struct(h[k].alias("h"), bits(k).alias("mask")) for k in range(3)]
+    fresh = F.array(each[0], F.when(h[1] != h[0], each[1]), F.when((h[2] != h[0]) & (h[2] != h[1]), each[2]))
+    rows = cut.select(*[c for c in cut.columns if c != "w"], "w.pos", "w.size", F.explode(F.filter(fresh, lambda x: x.isNotNull())).alias("x"))
+    return rows.select("*", "x.h", "x.mask").drop("x")
 
 
 def _places(met: DataFrame) -> DataFrame:
     """``met`` once per place it belongs to: its shift, its run of near shifts, and the whole document."""
-    key = ["doc_id", "item_id"]
+    key = ["doc_id", "item_id", "template"]
     shifts = met.select(*key, "n_words", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     by_shift = Window.partitionBy(*key).orderBy("shift")
     new = F.col("shift") - F.lag("shift").over(by_shift) > F.col("n_words") / 2
@@ -103,34 +133,45 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     if not sizes:
         sizes = [window]
     own = items.select("item_id", "words", F.explode(windows(F.col("words"), sizes)).alias("w")).where(F.col("w.size") == length)
-    value = F.filter(F.slice("words", F.col("w.pos") + 1, F.col("w.size")), is_slot)
-    own = stage_table(own.select("item_id", F.col("w.pos").alias("item_pos"), "w.size", "w.h", value.alias("item_slots"), F.size("words").alias("n_words")), "windows")
+    own = _hashes(own).withColumnRenamed("pos", "item_pos").withColumn("item_words", F.slice("words", F.col("item_pos") + 1, F.col("size")))
+    # A window of capitals says nothing: in the last template at least half the words are fixed.
+    fixed = 2 * F.size(F.filter("item_words", lambda w: ~is_slot(w))) >= F.col("size")
+    mask = F.when(fixed, F.col("mask")).otherwise(F.col("mask").bitwiseAND(3))
+    own = stage_table(own.withColumn("mask", mask).where("mask > 0").select("item_id", "item_pos", "size", "h", "mask", "item_words", F.size("words").alias("n_words")), "windows")
 
     texts = docs.where("doc_id is not null").select("doc_id", template_words(F.col("text")).alias("words"))
-    cut = texts.select("doc_id", F.explode(windows(F.col("words"), sizes)).alias("w")).select("doc_id", "w.pos", "w.size", "w.h")
-    met = cut.join(own.select("h", "size", "item_id", "item_pos", "n_words", F.size("item_slots").alias("slots")), ["h", "size"])
-    met = stage_table(met.select("doc_id", "pos", "size", "item_id", "item_pos", "n_words", "slots").distinct(), "matches")
+    cut = _hashes(texts.select("doc_id", F.explode(windows(F.col("words"), sizes)).alias("w")))
+    slots_of = lambda t: F.size(F.filter("item_words", lambda w: is_slot(w, t)))
+    slots = F.array(*[slots_of(t) for t in TEMPLATES])
+    own_h = own.select("h", "size", "item_id", "item_pos", "n_words", F.col("mask").alias("item_mask"), slots.alias("slots"))
+    met = cut.join(own_h, ["h", "size"]).withColumn("mask", F.col("mask").bitwiseAND(F.col("item_mask")))
+    template = F.explode(F.filter(F.array(*[F.when(F.col("mask").bitwiseAND(1 << k) > 0, F.lit(k)) for k in range(3)]), lambda k: k.isNotNull()))
+    met = met.select("doc_id", "pos", "size", "item_id", "item_pos", "n_words", "slots", template.alias("template"))
+    met = stage_table(met.withColumn("slots", F.get("slots", F.col("template"))).distinct(), "matches")
     places = _places(met)
-    keys = ["doc_id", "item_id", "kind", "at"]
+    keys = ["doc_id", "item_id", "template", "kind", "at"]
     pairs = places.groupBy(*keys).agg(
         F.first(F.col("n_words") - F.col("size") + 1).alias("n_windows"), F.countDistinct("item_pos").alias("n_matched"), F.max("slots").alias("slots")
     )
     pairs = stage_table(pairs.where(F.col("n_matched") >= coverage * F.col("n_windows")), "covered")
 
     # Slots: only pairs that have some go back to the texts for the values.
-    asked = met.join(pairs.where("slots > 0").select("doc_id", "item_id").distinct(), ["doc_id", "item_id"], "left_semi").where("slots > 0")
-    asked = stage_table(asked.select("doc_id", "item_id", "pos", "item_pos", "size"), "slots")
+    asked = met.join(pairs.where("slots > 0").select("doc_id", "item_id", "template").distinct(), ["doc_id", "item_id", "template"], "left_semi").where("slots > 0")
+    asked = stage_table(asked.select("doc_id", "item_id", "template", "pos", "item_pos", "size"), "slots")
     wanted = docs.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", template_words(F.col("text")).alias("words"))
-    here = F.filter(F.slice("words", F.col("pos") + 1, F.col("size")), is_slot)
-    there = own.select("item_id", "item_pos", "item_slots")
+    there = own.select("item_id", "item_pos", "item_words").distinct()
+    # A match has the same slots on both sides, so the words stand side by side.
+    both = F.arrays_zip(F.col("item_words").alias("a"), F.slice("words", F.col("pos") + 1, F.col("size")).alias("b"))
+    kinds = F.get(F.array(*[F.lit(t) for t in TEMPLATES]), F.col("template"))
+    in_slot = lambda w: F.startswith(w, F.lit(MARK)) & F.contains(kinds, F.substring(w, 2, 1))
     met_values = (
         wanted.join(asked, "doc_id").join(there, ["item_id", "item_pos"])
-        .where(F.size(here) == F.size("item_slots"))
-        .select("doc_id", "item_id", "pos", "item_pos", F.explode(F.arrays_zip(F.col("item_slots").alias("a"), here.alias("b"))).alias("v"))
-        .select("doc_id", "item_id", "pos", "item_pos", "v.a", "v.b")
+        .select("doc_id", "item_id", "template", "pos", "item_pos", F.explode(F.filter(both, lambda v: in_slot(v["a"]) & in_slot(v["b"]))).alias("v"))
+        # Names and opening capitals are of one kind.
+        .select("doc_id", "item_id", "template", "pos", "item_pos", *[F.regexp_replace(f"v.{c}", f"^{MARK}c", f"{MARK}a").alias(c) for c in "ab"])
     )
     values = (
-        met_values.join(places.join(pairs.where("slots > 0").select(*keys), keys, "left_semi").select(*keys, "pos", "item_pos"), ["doc_id", "item_id", "pos", "item_pos"])
+        met_values.join(places.join(pairs.where("slots > 0").select(*keys), keys, "left_semi").select(*keys, "pos", "item_pos"), ["doc_id", "item_id", "template", "pos", "item_pos"])
         .groupBy(*keys, "a").agg(F.count_distinct("b").alias("n"))
         .groupBy(*keys).agg(F.count("*").alias("n_slots"), F.max("n").alias("most"))
     )

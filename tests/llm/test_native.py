@@ -145,6 +145,24 @@ def test_an_item_twice_with_different_values(spark, docs_of):
     assert sorted((r.doc_id, r.item_id) for r in rows) == sorted((i, k) for i, _, s in COPIES for k in s)
 
 
+NAMED_ITEMS = [
+    (1, "Anna has 5 apples and 3 pears"), (2, "What is the sum of 5 and 7"), (3, "the ferry leaves Oslo at 9 hours and then Anna, Bob, Carl and Dora meet Emil near Bergen at night"),
+    (4, "the long ferry line from Oslo goes slowly to Bergen while\nAnna sleeps on the upper deck all night"),
+]
+NAMED = [
+    (40, "Bob has 6 apples and 2 pears", {1}), (41, "so it ends. Bob has 6 apples and 2 pears. more", {1}), (42, "today Bob has 6 apples and 2 pears", {1}),
+    (43, "he asked What is the sum of 5 and 7", {2}), (44, "first, What is the sum of 8 and 9", {2}), (45, NAMED_ITEMS[2][1].lower(), {3}), (46, NAMED_ITEMS[2][1].upper(), {3}),
+    (47, NAMED_ITEMS[2][1].replace(" ", "\n"), {3}), (48, NAMED_ITEMS[3][1].replace("\n", " ").replace("Anna", "Zoe"), {4}), (49, NAMED_ITEMS[2][1].replace(" Anna", "\u00a0\tAnna"), {3}),
+    (50, "Bob has 6 plums and 2 figs", set()), (51, "WE HAVE SO MANY WORDS IN CAPITALS HERE THAT NOTHING IS FIXED", set()), (52, "he asked What was the sum of 5 and 7", set()),
+]
+
+
+def test_names_anywhere_and_in_any_case(spark, docs_of):
+    items = spark.createDataFrame(NAMED_ITEMS, "item_id long, text string")
+    rows = decontaminate.find_leaks(docs_of([(i, t) for i, t, _ in NAMED]), items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == sorted((i, k) for i, _, s in NAMED for k in s)
+
+
 def test_leaks_in_the_given_documents(spark):
     """Documents that hold a benchmark text word for word are found; what is found shares most words with its item."""
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
