@@ -81,6 +81,8 @@ LABELLED = (
     "<body><div><a>-1</a> <a>-2</a></div><p>+60</p><p>+17 <a>+6</a></p><p>+42</p><p>+74</p>",
     "<body><p>+36</p><p>+10</p><p>+28</p><p>+19</p>",
     "<body><article><p>+1</p><p>+2</p><p>+1</p><p>+3</p></article><div><a>-4</a></div>",
+    "<body><form><nav><a>-1</a> <a>-2</a></nav><article><h1>+5</h1><p>+37</p><p>+4</p><p>+52</p></article><footer>-8</footer></form>",
+    "<body><div class='site has-sidebar'><div><a>-2</a></div><div><h1>+6</h1><p>+41</p><p>+23</p><p>+58</p></div><div class=sidebar><p>-22</p></div></div>",
     "<body><article><header><h1>+6</h1></header><p>+40<aside><p>-17</p></aside><p>+9<form>-5</form><p>+1</article>",
 )
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "place", "outside", "heading")
@@ -96,10 +98,14 @@ class Block:
     heading: int
 
 
-def _speaks(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element speaks of boilerplate, and whether it is the article."""
+def _speaks(name: str, attributes: str, inside: bool, spared: bool = False) -> tuple[bool, bool, bool]:
+    """Whether an element speaks of boilerplate, whether it is the article, and whether only a form or a class speaks of boilerplate.
+
+    Where it is spared, a form and a class do not count.
+    """
     # A header within the article holds its title.
-    outside = name in OUTSIDE_NAMES and not (inside and name == "header")
+    outside = name in OUTSIDE_NAMES and name != "form" and not (inside and name == "header")
+    weak = name == "form"
     article = name in ARTICLE_NAMES
     if attributes and not outside:
         for m in ATTRIBUTE.finditer(attributes):
@@ -109,13 +115,15 @@ def _speaks(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
                 article |= value in ("main", "article")
             elif key in ("class", "id"):
                 words = SEPARATOR.split(value)
-                outside |= not OUTSIDE_WORDS.isdisjoint(words) and name not in ("body", "html", "article", "main")
+                weak |= not OUTSIDE_WORDS.isdisjoint(words) and name not in ("body", "html", "article", "main")
                 article |= name != "body" and not ARTICLE_WORDS.isdisjoint(words)
             elif key == "style":
                 outside |= "display:none" in value.replace(" ", "")
             else:
                 outside |= value in ("", "true", "hidden")
-    return outside, article and not outside
+    weak = weak and not outside and not spared
+    outside |= weak
+    return outside, article and not outside, weak
 
 
 @functools.lru_cache(maxsize=32)
@@ -124,19 +132,42 @@ def _closing(name: str) -> re.Pattern:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's flat blocks in order, without empty ones."""
+    """The page's flat blocks in order, without empty ones.
+
+    A form, or an element whose class speaks of boilerplate, is not boilerplate if it wraps the page's text: if it
+    holds all of its articles (where it has none, its top headings) and most of its unlinked words, or its only article. On a page with neither it must hold nine tenths of the words.
+    """
+    out, wrappers = _scan(page, frozenset())
+    return _scan(page, wrappers)[0] if wrappers else out
+
+
+def _scan(page: str, spared: frozenset[int]) -> tuple[list[Block], frozenset[int]]:
+    """The blocks, and the numbers of the elements that wrap the page's text although a form or class speaks against it."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # name, outside, article; both as of the element and those around it
+    n_elements = unlinked = 0
+    weak: dict[int, tuple[int, int]] = {}  # by stack position: number of the element, unlinked words before it
+    held: list[tuple[int, int, int]] = []  # weak elements: their number, the last one inside, unlinked words
+    articles: list[int] = []
+    tops: list[int] = []
+
+    def closed(i: int) -> None:
+        """Takes the stack down to ``i`` elements."""
+        while weak and next(reversed(weak)) >= i:
+            _, (number, before) = weak.popitem()
+            held.append((number, n_elements, unlinked - before))
+        del stack[i:]
     pieces: list[tuple[str, bool]] = []
     heading = linked = False
 
     def flush() -> None:
-        nonlocal heading
+        nonlocal heading, unlinked
         if pieces:
             words = html.unescape("".join(t for t, _ in pieces)).split()
             if words:
                 in_links = sum(len(html.unescape(t).split()) for t, a in pieces if a)
                 _, outside, article = stack[-1] if stack else ("", False, False)
+                unlinked += max(0, len(words) - in_links)
                 out.append(Block(" ".join(words), len(words), min(1.0, in_links / len(words)), int(article), int(outside), int(heading)))
             pieces.clear()
         heading = False
@@ -158,6 +189,9 @@ def blocks_of(page: str) -> list[Block]:
         if name in BLOCKS:
             flush()
             heading = name in HEADINGS and not closing
+            if name == "h1" and not closing:
+                n_elements += 1
+                tops.append(n_elements)
         elif name == "br":
             pieces.append((" ", linked))
         if name == "a":
@@ -165,22 +199,31 @@ def blocks_of(page: str) -> list[Block]:
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    del stack[i:]
+                    closed(i)
                     break
         elif name in CONTAINERS and name not in VOID and not m[3].endswith("/"):
             if name in ("p", "li", "td", "th", "tr", "a") and stack and stack[-1][0] == name:
-                stack.pop()  # these close their like
+                closed(len(stack) - 1)  # these close their like
             _, outside, article = stack[-1] if stack else ("", False, False)
-            own_outside, own_article = _speaks(name, m[3], article)
-            # Boilerplate inside the article stays outside of the text; an article inside boilerplate is one.
+            n_elements += 1
+            own_outside, own_article, own_weak = _speaks(name, m[3], article, n_elements in spared)
+            if own_article and not article:
+                articles.append(n_elements)
+            if own_weak:
+                weak[len(stack)] = n_elements, unlinked
+            # Boilerplate inside the article stays outside of the text, and so does an article inside boilerplate.
             stack.append((name, outside or own_outside, (article or own_article) and not (outside or own_outside)))
     if at < len(page):
         pieces.append((page[at:], linked))
     flush()
+    closed(0)
+    inner = articles or tops
+    most = 0.5 if inner else 0.9
+    wrappers = {number for number, last, n in held if all(number <= i <= last for i in inner) and (n > most * unlinked or len(articles) == 1)}
     has_article = any(b.place for b in out)
     for b in out:
         b.place = (1 if b.place else -1) if has_article else 0
-    return out
+    return out, frozenset(wrappers)
 
 
 def features_of(blocks: list[Block]) -> np.ndarray:

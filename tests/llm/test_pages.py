@@ -28,6 +28,23 @@ def test_pages(page, want):
     assert got == want if want is not None else got == page
 
 
+BODY = "<h1>A title of the text</h1><p>" + "word " * 40 + "</p><p>" + "more " * 25 + "</p>"
+WRAPPERS = ["<form action='/x'>%s</form>", "<div class='site has-sidebar'>%s</div>", "<div class=content-widget>%s</div>", "<div id=header-fixed><form>%s</form></div>"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("inner", ["<article>%s</article>", "<main>%s</main>", "<div>%s</div>"])
+def test_wrappers_of_the_whole_page(wrapper, inner):
+    page = "<body>" + wrapper % ("<nav><a>Home</a></nav>" + inner % BODY + "<div class=sidebar><p>" + "aside " * 20 + "</p></div>") + "</body>"
+    assert main_text(page, TREE) == "\n".join(["A title of the text", " ".join(["word"] * 40), " ".join(["more"] * 25)])
+
+
+def test_boilerplate_stays_boilerplate():
+    comments = "<section class=comments><p>" + "opinion " * 200 + "</p></section>"
+    for page in ("<body><article>" + BODY + "</article>" + comments, "<body><div>" + BODY + "</div>" + comments):
+        assert "opinion" not in main_text(page, TREE) and "word word" in main_text(page, TREE)
+
+
 def test_tree_learns_its_table_and_holds_out():
     x, y = html_text.labelled_table()
     assert np.mean([html_text.keeps(TREE, r) for r in x] == y) > 0.97
