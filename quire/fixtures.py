@@ -282,16 +282,18 @@ class Views:
     @cached_property
     def registry(self) -> DataFrame:
         return self.works.selectExpr(
-            "id", "case when id%4=0 then null else doi end doi", "journal", "yr", "id%97 first_page",
-            "concat(title, case when id%3=0 then ' extra' else '' end, ' ', cast(id as string)) title",
+            "id", "case when id%4=0 then null else doi end doi", "journal", "yr", "case when id%9=2 then null else id%97 end first_page",
+            "case when id%9=2 then concat('withdrawn record ', cast(id as string)) else concat(title, case when id%3=0 then ' extra' else '' end, ' ', cast(id as string)) end title",
         )
 
     @cached_property
     def hints(self) -> DataFrame:
-        """Linkage input. Ids are the ground truth; two thirds of the works are looked up."""
-        return self.works.where("id%3<>1").selectExpr(
+        """Linkage input: all works, each with some of its keys left out. Ids are the ground truth."""
+        return self.works.withColumn("title", F.concat_ws(" ", "title", "id")).selectExpr(
             "id", "case when id%2=0 then null else doi end doi", "case when id%5=0 then null else journal end journal", "yr",
-            "case when id%7=0 then null else id%97 end first_page", "concat(title,' ',cast(id as string)) title",
+            "case when id%7=0 or id%3=1 and id%11<>0 then null else id%97 end first_page", "title",
+            "case when id%11=0 then array('page ' || id%9) when id%4=1 then array('running heading of volume ' || yr, title) "
+            "when id%10=3 then array('short', title, title) else array(title) end titles",
         )
 
     @cached_property
@@ -336,8 +338,8 @@ _SHARED = {
     "import_v": """select doc_id, sha1(text) hash, doc_id%3=0 existing, case when doc_id%4=0 then 'done' when doc_id%4=1 then 'error' when doc_id%4=2 then 'paused' else null end stage, doc_id%10*1000 paused_until from documents""",
     "terms_v": """select distinct lower(concat(split_part(text,' ',1),' (',split_part(text,' ',2),')')) term from benchmark""",
     "quiz_v": """select conv_id paper_id, turn qi, length(text)%4 answer, case when turn%5=0 then null else (length(text)+conv_id)%4 end chosen from conversations""",
-    "registry_v": """select id, case when id%4=0 then null else doi end doi, journal, yr, id%97 first_page, concat(title, case when id%3=0 then ' extra' else '' end, ' ', cast(id as varchar)) title from works_v""",
-    "hints_v": """select id, case when id%2=0 then null else doi end doi, case when id%5=0 then null else journal end journal, yr, case when id%7=0 then null else id%97 end first_page, concat(title,' ',cast(id as varchar)) title from works_v where id%3<>1""",
+    "registry_v": """select id, case when id%4=0 then null else doi end doi, journal, yr, case when id%9=2 then null else id%97 end first_page, case when id%9=2 then concat('withdrawn record ', cast(id as varchar)) else concat(title, case when id%3=0 then ' extra' else '' end, ' ', cast(id as varchar)) end title from works_v""",
+    "hints_v": """select id, case when id%2=0 then null else doi end doi, case when id%5=0 then null else journal end journal, yr, case when id%7=0 or id%3=1 and id%11<>0 then null else id%97 end first_page, title, case when id%11=0 then ['page ' || id%9] when id%4=1 then ['running heading of volume ' || yr, title] when id%10=3 then ['short', title, title] else [title] end titles from (select * replace (concat(title,' ',cast(id as varchar)) as title) from works_v)""",
     "md_v": """select paper_id, concat('# t',chr(10),'## 一句話結論',chr(10),max(case when ord=1 then text end),' [[1.1, 1.2]] **x** [l](u)',chr(10),'## b',chr(10),string_agg(text,chr(10) order by ord),chr(10),'see [1.2] and [[9.99]] [[2.1；1.1]]') md from sentences_v group by paper_id""",
 }
 

@@ -143,3 +143,40 @@ def test_idle_source_times_out(spark, tmp_path):
         assert (2, "open") in states and (2, "timeout") in states
     finally:
         q.stop()
+
+
+REGISTRY = "id long, doi string, issn array<string>, first_page long, yr int, volume string, title string"
+HINTS = "id long, doi string, issn array<string>, first_page long, yr int, volume string, titles array<string>"
+
+
+def test_cascade_tries_three_titles_and_the_first_page(spark):
+    first = spark.createDataFrame([(1, "10.1/a", ["i1"], 5, 2001, None, "gauges of the northern harbours"), (2, None, ["i1"], 9, 2002, None, "the third title of them all")], REGISTRY)
+    second = spark.createDataFrame([
+        (50, None, ["i1"], 7, 2003, None, "a record of the other registry"), (51, None, ["i1"], 8, 2003, None, "a record of the other registry"),
+        (52, None, ["i2"], 7, 2003, None, "a record of the other registry"), (53, None, ["i9"], 4, 2009, None, "something with no title asked"),
+    ], REGISTRY)
+    none, yr = None, 2003
+    hints = spark.createDataFrame([
+        (1, "10.1/A", none, none, none, none, ["x"]), (2, none, ["i1"], 9, 2002, none, none),
+        (3, none, none, none, none, none, ["running heading here", "another running heading", "the third title of them all"]),
+        # The title that would be found is the fourth that is long enough, or too short.
+        (4, none, none, none, none, none, ["running heading aa", "running heading bb", "running heading cc", "the third title of them all"]),
+        (5, none, none, none, none, none, ["short", "short", "running heading aa", "running heading bb", "the third title of them all"]),
+        (6, none, ["i1", "i2"], none, yr, none, ["a record of the other registry"]), (7, none, ["i1"], 8, yr, none, ["a record of the other registry"]),
+        (8, none, ["i1"], 99, yr, none, ["a record of the other registry"]), (9, none, ["i2"], none, yr, none, ["a record of the other registry"]),
+        (10, none, ["i9"], 4, 2009, none, []), (11, none, ["i9"], 5, 2009, none, none), (12, none, ["i9"], none, 2009, none, ["tiny"]),
+    ], HINTS)
+    got = {r.id: (r.work, r.via) for r in K.link(hints, first, second).collect()}
+    assert got == {
+        1: (1, "doi"), 2: (2, "biblio"), 3: (2, "title"), 4: (-1, "none"), 5: (2, "title"), 6: (50, "second"), 7: (51, "second"),
+        8: (50, "second"), 9: (52, "second"), 10: (53, "second"), 11: (-1, "none"), 12: (-1, "none"),
+    }
+
+
+def test_title_search_meets_few(spark):
+    """A common word leads nowhere, however many titles hold it; runs of common words do."""
+    many = spark.createDataFrame([(i, f"tidal gauges number {i} of harbour {i % 7}") for i in range(500)], "id long, title string")
+    asked = spark.createDataFrame([(1, "tidal gauges number 77 of harbour 0"), (2, "tidal gauges"), (3, "")], "id long, title string")
+    assert [(r.id, r.work, r.dice) for r in K.best_titles(asked, many, 0.75).collect()] == [(1, 77, 1.0)]
+    found = K.search_titles(spark.createDataFrame([("tidal gauges number 77 of harbour 0",)], "key string"), K._registry_keys(many)).collect()
+    assert len(found) <= K.CANDIDATES
