@@ -3,7 +3,8 @@
 A text becomes a template: numbers, names (capitalised words inside a sentence) and units
 after numbers turn into typed placeholders that remember their value; the rest is
 lower-cased words. Every window of eight template words is hashed, values left out, and
-the windows of the documents are hash-joined with those of the benchmark. Which capital is
+the windows of the documents are hash-joined with those of the benchmark; windows
+without a pair of neighbouring words that the benchmark has are not hashed. Which capital is
 a name cannot be told for sure, so there are three templates: names as above; no names, all
 words lower-cased (exact copies after any word, in any case and with any white space); and
 opening capitals of sentences as names too, in windows of which at least half the words are
@@ -37,6 +38,10 @@ from quire.session import stage_table
 
 WINDOW = 8
 COVERAGE = 0.3
+#: Slots of the gate that windows must pass before they are hashed.
+GATE = 1 << 18
+#: A window is looked at by one pair of neighbours, at a multiple of this.
+STRIDE = 4
 # Units that follow a number, longest first.
 UNITS = (
     "percent", "dollars", "dollar", "euros", "euro", "pounds", "pound", "cents", "cent", "hours", "hour", "minutes", "minute", "seconds",
@@ -68,31 +73,97 @@ def is_slot(word: Column, types: str = TEMPLATES[-1]) -> Column:
     return F.startswith(word, F.lit(MARK)) & F.substring(word, 2, 1).isin(*types)
 
 
-def windows(words: Column, sizes: list[int]) -> Column:
-    """Array of ``(pos, size, h, mask)``: all windows of the given sizes, hashed without the slots' values.
+def _bound(words: Column, body) -> Column:
+    """Arrays that ``body`` makes of the words, their marked ones and their hashes in every template, joined to one; each is worked out once."""
+    marked = lambda w: F.startswith(w, F.lit(MARK))
 
-    A window has one hash per template, equal ones once; bit k of ``mask`` says that h is that of template k.
+    # Per word its hash in a template: the value's, or that of the slot's type (a capital's is a name's).
+    def hashes(w: Column, types: str) -> Column:
+        def hashed(x: Column) -> Column:
+            kind = F.substring(x, 2, 1)
+            slot = F.xxhash64(F.concat(F.lit(MARK), F.when(kind == "c", "a").otherwise(kind)))
+            return F.when(~marked(x), F.xxhash64(x)).when(kind.isin(*types), slot).otherwise(F.xxhash64(F.substring(x, 3, 1 << 30)))
+
+        return F.transform(w, hashed)
+
+    def row(w: Column) -> Column:
+        return F.struct(w.alias("words"), F.transform(w, lambda x: F.when(marked(x), x)).alias("slots"), *[hashes(w, types).alias(f"t{k}") for k, types in enumerate(TEMPLATES)])
+
+    return F.flatten(F.transform(F.transform(F.array(words), row), body))
+
+
+def _range(first: Column, last: Column, step: int = 1) -> Column:
+    return F.when(last >= first, F.sequence(first, last, F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+
+def _pair(d: Column, k: int, i: Column, alone: bool) -> Column:
+    """Hash of a word and the next one in a template, or of a word that is a whole item."""
+    return F.xxhash64(F.get(d[f"t{k}"], i), F.lit(0) if alone else F.get(d[f"t{k}"], i + 1))
+
+
+def word_pairs(words: Column) -> Column:
+    """Hashes of all pairs of neighbours in all templates; of the word, if it is alone."""
+
+    def of(d: Column) -> Column:
+        n = F.size(d.words)
+        pairs = [F.transform(_range(F.lit(0), n - 2), _pair_of(d, k)) for k in range(3)]
+        return F.when(n == 1, F.array(*[_pair(d, k, F.lit(0), True) for k in range(3)])).otherwise(F.concat(*pairs))
+
+    return _bound(words, of)
+
+
+def _pair_of(d: Column, k: int):
+    return lambda i: _pair(d, k, i, False)
+
+
+def gate_of(pairs: DataFrame) -> bytes:
+    """A gate for the hashes ``x`` of ``pairs``: a byte per slot, so its size is fixed whatever the benchmark's is."""
+    gate = bytearray(GATE)
+    slot = F.pmod("x", F.lit(GATE)).cast("int").alias("slot")
+    for r in pairs.select(slot).distinct().collect():  # at most as many as the gate has slots
+        gate[r.slot] = 1
+    return bytes(gate)
+
+
+def windows(words: Column, sizes: list[int], gate: bytes | None = None) -> Column:
+    """Array of ``(pos, size, h, v)``: windows of the given sizes, hashed without the slots' values, which are ``v``.
+
+    A window has one hash per template; ``v`` holds the marked words at their places and
+    null elsewhere. With a ``gate`` only windows that may match are hashed: every window
+    holds a pair of neighbours at a multiple of the stride, and that pair must pass.
     """
-    # Per word its hash in every template: the value's, or that of the slot's type (a capital's is a name's).
-    def hashed(w: Column) -> Column:
-        marked, kind = F.startswith(w, F.lit(MARK)), F.substring(w, 2, 1)
-        plain = F.xxhash64(F.when(marked, F.substring(w, 3, 1 << 30)).otherwise(w))
-        slot = F.xxhash64(F.concat(F.lit(MARK), F.when(kind == "c", "a").otherwise(kind)))
-        return F.struct(*[F.when(marked & kind.isin(*types), slot).otherwise(plain).alias(f"t{k}") for k, types in enumerate(TEMPLATES)])
+    several = [s for s in sizes if s > 1]
+    stride = min(STRIDE, min(several, default=2) - 1)
 
-    def of(size: int, h: Column) -> Column:
-        last = F.size(h["t0"]) - size
-        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    def cut(d: Column) -> Column:
+        n = F.size(d.words)
+        passes = lambda x: F.substring(F.lit(bytearray(gate)), F.pmod(x, F.lit(len(gate))).cast("int") + 1, 1) == F.lit(bytearray(b"\x01"))
 
-        def at_pos(i: Column) -> Column:
-            a, b, c = (F.xxhash64(*[F.get(h[f"t{k}"], i + j) for j in range(size)]) for k in range(3))
-            return F.struct(i.alias("pos"), F.lit(size).alias("size"), F.array(a, b, c).alias("h"))
+        def opened(i: Column, alone: bool) -> Column:
+            same = lambda k: F.get(d[f"t{k}"], i) == F.get(d.t0, i)
+            # Templates differ only where they differ in these words.
+            differs = lambda k: ~same(k) if alone else ~same(k) | (F.get(d[f"t{k}"], i + 1) != F.get(d.t0, i + 1))
+            return passes(_pair(d, 0, i, alone)) | (differs(1) & passes(_pair(d, 1, i, alone))) | (differs(2) & passes(_pair(d, 2, i, alone)))
 
-        return F.transform(at, at_pos)
+        def of(size: int, at: Column) -> Column:
+            # An array is hashed in one go: a pass over the slice.
+            part = lambda i, c: F.slice(d[c], i + 1, size)
+            return F.transform(at, lambda i: F.struct(
+                i.alias("pos"), F.lit(size).alias("size"), F.array(*[F.xxhash64(part(i, f"t{k}")) for k in range(3)]).alias("h"), part(i, "slots").alias("v"),
+            ))
 
-    # The hashed words are bound once for all sizes.
-    arrays = F.transform(F.array(F.transform(words, hashed)), lambda h: F.struct(*[h[f"t{k}"].alias(f"t{k}") for k in range(3)]))
-    return F.flatten(F.transform(arrays, lambda h: F.concat(*[of(s, h) for s in sizes])))
+        alone = F.filter(_range(F.lit(0), n - 1), lambda i: opened(i, True)) if gate else _range(F.lit(0), n - 1)
+        parts = [of(1, alone)] if 1 in sizes else []
+        if several:
+            starts = _range(F.lit(0), n - min(several))
+            if gate:
+                anchors = F.filter(_range(F.lit(0), n - 2, stride), lambda i: opened(i, False))
+                starts = F.flatten(F.transform(anchors, lambda p: _range(F.greatest(p - stride + 1, F.lit(0)), F.least(p, n - min(several)))))
+            fits = lambda at, s: at if s == min(several) else F.filter(at, lambda i: i <= n - s)
+            parts.append(F.flatten(F.transform(F.array(starts), lambda at: F.concat(*[of(s, fits(at, s)) for s in several]))))
+        return F.concat(*parts)
+
+    return _bound(words, cut)
 
 
 def _hashes(cut: DataFrame) -> DataFrame:
@@ -101,7 +172,7 @@ def _hashes(cut: DataFrame) -> DataFrame:
     bits = lambda k: sum((F.when(h[j] == h[k], 1 << j).otherwise(0) for j in range(3)), F.lit(0))
     each = [F.struct(h[k].alias("h"), bits(k).alias("mask")) for k in range(3)]
     fresh = F.array(each[0], F.when(h[1] != h[0], each[1]), F.when((h[2] != h[0]) & (h[2] != h[1]), each[2]))
-    rows = cut.select(*[c for c in cut.columns if c != "w"], "w.pos", "w.size", F.explode(F.filter(fresh, lambda x: x.isNotNull())).alias("x"))
+    rows = cut.select(*[c for c in cut.columns if c != "w"], "w.pos", "w.size", "w.v", F.explode(F.filter(fresh, lambda x: x.isNotNull())).alias("x"))
     return rows.select("*", "x.h", "x.mask").drop("x")
 
 
@@ -137,17 +208,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     # A window of capitals says nothing: in the last template at least half the words are fixed.
     fixed = 2 * F.size(F.filter("item_words", lambda w: ~is_slot(w))) >= F.col("size")
     mask = F.when(fixed, F.col("mask")).otherwise(F.col("mask").bitwiseAND(3))
-    own = stage_table(own.withColumn("mask", mask).where("mask > 0").select("item_id", "item_pos", "size", "h", "mask", "item_words", F.size("words").alias("n_words")), "windows")
+    own = stage_table(own.withColumn("mask", mask).where("mask > 0").select("item_id", "item_pos", "size", "h", "mask", "item_words", F.col("v").alias("item_v"), F.size("words").alias("n_words")), "windows")
 
+    gate = gate_of(items.select(F.explode(word_pairs(F.col("words"))).alias("x")))
     texts = docs.where("doc_id is not null").select("doc_id", template_words(F.col("text")).alias("words"))
-    cut = _hashes(texts.select("doc_id", F.explode(windows(F.col("words"), sizes)).alias("w")))
+    cut = _hashes(texts.select("doc_id", F.explode(windows(F.col("words"), sizes, gate)).alias("w")))
     slots_of = lambda t: F.size(F.filter("item_words", lambda w: is_slot(w, t)))
     slots = F.array(*[slots_of(t) for t in TEMPLATES])
-    own_h = own.select("h", "size", "item_id", "item_pos", "n_words", F.col("mask").alias("item_mask"), slots.alias("slots"))
+    own_h = own.select("h", "size", "item_id", "item_pos", "n_words", "item_v", F.col("mask").alias("item_mask"), slots.alias("slots"))
     met = cut.join(own_h, ["h", "size"]).withColumn("mask", F.col("mask").bitwiseAND(F.col("item_mask")))
     template = F.explode(F.filter(F.array(*[F.when(F.col("mask").bitwiseAND(1 << k) > 0, F.lit(k)) for k in range(3)]), lambda k: k.isNotNull()))
-    met = met.select("doc_id", "pos", "size", "item_id", "item_pos", "n_words", "slots", template.alias("template"))
-    met = stage_table(met.withColumn("slots", F.get("slots", F.col("template"))).distinct(), "matches")
+    # A match has the same slots on both sides, so the values stand side by side. Names and opening capitals are of one kind.
+    met = met.select("doc_id", "pos", "size", "item_id", "item_pos", "n_words", "slots", "v", "item_v", template.alias("template"))
+    kinds = F.get(F.array(*[F.lit(t) for t in TEMPLATES]), F.col("template"))
+    in_slot = lambda w: F.contains(kinds, F.substring(w, 2, 1))
+    plain = lambda w: F.regexp_replace(w, f"^{MARK}c", f"{MARK}a")
+    values = F.transform(
+        F.filter(F.arrays_zip(F.col("item_v").alias("a"), F.col("v").alias("b")), lambda z: in_slot(z.a) & in_slot(z.b)), lambda z: F.struct(plain(z.a).alias("a"), plain(z.b).alias("b"))
+    )
+    met = stage_table(met.withColumn("slots", F.get("slots", F.col("template"))).withColumn("values", F.array_distinct(values)).drop("v", "item_v").distinct(), "matches")
     places = _places(met)
     keys = ["doc_id", "item_id", "template", "kind", "at"]
     pairs = places.groupBy(*keys).agg(
@@ -155,21 +234,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     )
     pairs = stage_table(pairs.where(F.col("n_matched") >= coverage * F.col("n_windows")), "covered")
 
-    # Slots: only pairs that have some go back to the texts for the values.
-    asked = met.join(pairs.where("slots > 0").select("doc_id", "item_id", "template").distinct(), ["doc_id", "item_id", "template"], "left_semi").where("slots > 0")
-    asked = stage_table(asked.select("doc_id", "item_id", "template", "pos", "item_pos", "size"), "slots")
-    wanted = docs.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", template_words(F.col("text")).alias("words"))
-    there = own.select("item_id", "item_pos", "item_words").distinct()
-    # A match has the same slots on both sides, so the words stand side by side.
-    both = F.arrays_zip(F.col("item_words").alias("a"), F.slice("words", F.col("pos") + 1, F.col("size")).alias("b"))
-    kinds = F.get(F.array(*[F.lit(t) for t in TEMPLATES]), F.col("template"))
-    in_slot = lambda w: F.startswith(w, F.lit(MARK)) & F.contains(kinds, F.substring(w, 2, 1))
-    met_values = (
-        wanted.join(asked, "doc_id").join(there, ["item_id", "item_pos"])
-        .select("doc_id", "item_id", "template", "pos", "item_pos", F.explode(F.filter(both, lambda v: in_slot(v["a"]) & in_slot(v["b"]))).alias("v"))
-        # Names and opening capitals are of one kind.
-        .select("doc_id", "item_id", "template", "pos", "item_pos", *[F.regexp_replace(f"v.{c}", f"^{MARK}c", f"{MARK}a").alias(c) for c in "ab"])
-    )
+    # Slots: whether one value of the item always stands for the same value of the document.
+    met_values = met.where(F.size("values") > 0).select("doc_id", "item_id", "template", "pos", "item_pos", F.explode("values").alias("v"))
+    met_values = met_values.select("doc_id", "item_id", "template", "pos", "item_pos", "v.a", "v.b")
     values = (
         met_values.join(places.join(pairs.where("slots > 0").select(*keys), keys, "left_semi").select(*keys, "pos", "item_pos"), ["doc_id", "item_id", "template", "pos", "item_pos"])
         .groupBy(*keys, "a").agg(F.count_distinct("b").alias("n"))

@@ -87,14 +87,6 @@ def test_mix_of_odd_rows(odd_docs, no_docs):
     assert mixing.mix_report(no_docs).count() == 0
 
 
-def canonical(text):
-    """Plain-Python template words, for texts of ASCII words, numbers and names."""
-    out = []
-    for w in re.findall(r"[A-Za-z']+|[0-9]+(?:[.,:/][0-9]+)*", text or ""):
-        out.append("#n" if w[0].isdigit() else w.lower())
-    return out
-
-
 ITEMS = [
     (1, "a train leaves the station with 45 people and after 3 stops it has 12 people left on board"),
     (2, "this is a plain sentence without any slots in it that is long enough to have windows"),
@@ -175,6 +167,17 @@ def test_leaks_in_the_given_documents(spark):
         assert sum(" ".join(words[j : j + 4]) in text[i] for j in range(len(words) - 3)) > 0.2 * len(words)
 
 
+def test_the_gate_loses_no_match(spark, docs_of, monkeypatch):
+    """With a gate of one slot everything passes; the results are the same, also for items of one and two words."""
+    docs = docs_of([(i, t) for i, t, _ in PASSAGES + COPIES + NAMED] + [(900 + k, "x " * k + "lone pair x") for k in range(9)])
+    items = spark.createDataFrame([*ITEMS, *((10 + i, t) for i, t in NAMED_ITEMS), (30, "lone"), (31, "lone pair"), (32, "pair x y")], "item_id long, text string")
+    rows = []
+    for gate in (decontaminate.GATE, 1):
+        monkeypatch.setattr(decontaminate, "GATE", gate)
+        rows.append(sorted(map(tuple, decontaminate.find_leaks(docs, items).collect())))
+    assert rows[0] == rows[1] and {(900, 30), (905, 31)} <= {r[:2] for r in rows[0]} and 32 not in {r[1] for r in rows[0]}
+
+
 @pytest.mark.parametrize("name", ["op1_decontamination", "op2_source_mix"])
 def test_no_python_in_the_plan(spark, name):
     from quire.llm.queries import QUERIES
