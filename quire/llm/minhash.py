@@ -179,7 +179,10 @@ def linked_classes(classes: DataFrame, texts: DataFrame) -> DataFrame:
     split = rest.groupBy("key").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"),
         F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"),
-    ).where("lo <> hi").select("key", "blocks")
+        F.count("*").alias("size"), *[F.bit_xor(F.xxhash64("cid", F.lit(salt))).alias(f"x{salt}") for salt in (1, 2)],
+    ).where("lo <> hi")
+    # Texts that share several bands fill several buckets alike; one of those is enough.
+    split = split.groupBy("size", "x1", "x2").agg(F.min(F.struct("key", "blocks")).alias("b")).select("b.key", "b.blocks")
     opened = stage_table(rest.join(split, "key").select("key", "blocks", "cid", "component"), "open")
     if opened.isEmpty():
         return labels
