@@ -83,9 +83,16 @@ LABELLED = (
     "<body><article><p>+1</p><p>+2</p><p>+1</p><p>+3</p></article><div><a>-4</a></div>",
     "<body><form><nav><a>-1</a> <a>-2</a></nav><article><h1>+5</h1><p>+37</p><p>+4</p><p>+52</p></article><footer>-8</footer></form>",
     "<body><div class='site has-sidebar'><div><a>-2</a></div><div><h1>+6</h1><p>+41</p><p>+23</p><p>+58</p></div><div class=sidebar><p>-22</p></div></div>",
+    "<body><nav><a>-6</a></nav><article><p>+50</p><p>+7</p></article><footer><a>-7</a><p>-50</p></footer>",
+    "<body><article><h1><a>+6</a></h1><p>+10</p><p>+31</p><p><a>+5</a></p></article><div><a>-6</a></div>",
+    "<body><main><p>+44</p><ul><li><a>+6</a></li><li><a>+5</a></li><li><a>+7</a></li></ul><p>+5</p></main><p><a>-4</a></p>",
+    "<body><div><a>-1</a> <a>-2</a> -1</div><div><p>+50</p></div>",
+    "<body><div><a>-2</a> <a>-1</a></div><div><p>+34</p><p>+3</p></div>",
     "<body><article><header><h1>+6</h1></header><p>+40<aside><p>-17</p></aside><p>+9<form>-5</form><p>+1</article>",
 )
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "place", "outside", "heading")
+#: Splits by what the markup says: boilerplate or not; out of the page's article, no article, in it.
+MARKUP = ((FEATURES.index("outside"), 0.5), (FEATURES.index("place"), -0.5), (FEATURES.index("place"), 0.5))
 
 
 @dataclass
@@ -145,6 +152,8 @@ def _scan(page: str, spared: frozenset[int]) -> tuple[list[Block], frozenset[int
     """The blocks, and the numbers of the elements that wrap the page's text although a form or class speaks against it."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # name, outside, article; both as of the element and those around it
+    open_names: dict[str, int] = {}
+    unclosed: set[str] = set()  # names without a further closing tag
     n_elements = unlinked = 0
     weak: dict[int, tuple[int, int]] = {}  # by stack position: number of the element, unlinked words before it
     held: list[tuple[int, int, int]] = []  # weak elements: their number, the last one inside, unlinked words
@@ -156,6 +165,8 @@ def _scan(page: str, spared: frozenset[int]) -> tuple[list[Block], frozenset[int
         while weak and next(reversed(weak)) >= i:
             _, (number, before) = weak.popitem()
             held.append((number, n_elements, unlinked - before))
+        for name, _, _ in stack[i:]:
+            open_names[name] -= 1
         del stack[i:]
     pieces: list[tuple[str, bool]] = []
     heading = linked = False
@@ -182,9 +193,11 @@ def _scan(page: str, spared: frozenset[int]) -> tuple[list[Block], frozenset[int
         name, closing = m[2].lower(), bool(m[1])
         if name in SILENT:
             pieces.append((" ", linked))
-            if not closing and not m[3].endswith("/"):
+            if not closing and not m[3].endswith("/") and name not in unclosed:
                 end = _closing(name).search(page, at)
                 at = end.end() if end else len(page) if name in RAW else at
+                if not end:
+                    unclosed.add(name)
             continue
         if name in BLOCKS:
             flush()
@@ -197,7 +210,8 @@ def _scan(page: str, spared: frozenset[int]) -> tuple[list[Block], frozenset[int
         if name == "a":
             linked = not closing
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
+            # Names that are not open close nothing; what a closing tag passes on its way is closed with it.
+            for i in range(len(stack) - 1, -1, -1) if open_names.get(name) else ():
                 if stack[i][0] == name:
                     closed(i)
                     break
@@ -212,6 +226,7 @@ def _scan(page: str, spared: frozenset[int]) -> tuple[list[Block], frozenset[int
             if own_weak:
                 weak[len(stack)] = n_elements, unlinked
             # Boilerplate inside the article stays outside of the text, and so does an article inside boilerplate.
+            open_names[name] = open_names.get(name, 0) + 1
             stack.append((name, outside or own_outside, (article or own_article) and not (outside or own_outside)))
     if at < len(page):
         pieces.append((page[at:], linked))
@@ -235,9 +250,18 @@ def features_of(blocks: list[Block]) -> np.ndarray:
     return x
 
 
-def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 2):
-    """A decision tree by Gini impurity: a leaf is a bool, a node is (feature, threshold, low, high)."""
+def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 2, first: tuple[tuple[int, float], ...] = MARKUP):
+    """A decision tree by Gini impurity: a leaf is a bool, a node is (feature, threshold, low, high).
+
+    The splits ``first`` are made before any other: what the markup says is asked before numbers decide.
+    """
     majority = bool(2 * y.sum() >= len(y))
+    if first and len(y):
+        (f, t), later = first[0], first[1:]
+        low = x[:, f] <= t
+        if low.all() or not low.any():
+            return train_tree(x, y, depth, least, later)
+        return f, t, train_tree(x[low], y[low], depth, least, later), train_tree(x[~low], y[~low], depth, least, later)
     if depth == 0 or y.all() or not y.any():
         return majority
     best = None
@@ -254,7 +278,7 @@ def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 2):
         return majority
     _, f, t = best
     low = x[:, f] <= t
-    return f, t, train_tree(x[low], y[low], depth - 1, least), train_tree(x[~low], y[~low], depth - 1, least)
+    return f, t, train_tree(x[low], y[low], depth - 1, least, ()), train_tree(x[~low], y[~low], depth - 1, least, ())
 
 
 def keeps(tree, row) -> bool:

@@ -75,3 +75,44 @@ def test_given_pages(spark):
         m = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)
         parts = [" ".join(h.unescape(re.sub(r"<[^>]*(>|$)", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", m[1])] if m else []
         assert r.text == "\n".join(p for p in parts if p)
+
+
+W50, W10 = " ".join(["word"] * 50), " ".join(["ten"] * 10)
+LINKED = [
+    ("<body><nav><a>Home page of our site</a></nav><article><p>%s</p></article>" % W50, W50),
+    ("<body><article><p>%s</p></article><footer><a>All about our company and terms</a><p>%s</p></footer>" % (W10, W50), W10),
+    ("<body><article><h1><a>The long title of this article</a></h1><p>%s</p></article>" % W10, "The long title of this article\n" + W10),
+    ("<body><article><p>%s</p><ul><li><a>First source of all</a></li><li><a>Second source</a></li></ul><p>End of the text.</p></article>" % W50,
+     W50 + "\nFirst source of all\nSecond source\nEnd of the text."),
+    ("<body><div class=breadcrumb><a>Home</a> <a>News</a></div><div><p>%s</p></div>" % W50, W50),
+    ("<body><div><a>Home</a> <a>News</a></div><div><p>%s</p></div>" % W50, W50),
+]
+
+
+@pytest.mark.parametrize("page,want", LINKED)
+def test_linked_blocks(page, want):
+    assert main_text(page, TREE) == want
+
+
+# Hand-written pages that the tree has not seen: what is kept is marked by "keep".
+HELD_OUT = [
+    "<body><header><a>Site</a></header><nav><ul><li><a>one</a><li><a>two</a></ul></nav><main><h1>keep title</h1><p>keep %s</p><p><a>keep source</a></p></main><footer>c 2020</footer>",
+    "<body><div id=menu><a>a</a> <a>b</a></div><h1>keep heading</h1><p>keep %s</p><p>keep %s</p><div id=footer>contact us</div>",
+    "<body><article><h2>keep a</h2><p>keep %s <a>keep link</a></p><div class=advert>buy</div><p>keep short</p></article><aside><p>%s</p></aside>",
+    "<body><main><blockquote>keep %s</blockquote><table><tr><td>keep cell<td>keep 2</table></main><section id=comments><p>%s</p></section>",
+]
+
+
+@pytest.mark.parametrize("page", HELD_OUT)
+def test_held_out_pages(page):
+    got = main_text(page.replace("%s", " ".join(["plain"] * 30)), TREE).split("\n")
+    assert len(got) == len([b for b in page.split(">") if b.startswith("keep") and "link" not in b]) and all(b.startswith("keep") for b in got)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 40_000 + "</section>" * 40_000, "<button>" * 60_000, "<select><svg><object>" * 30_000, "</b>" * 200_000])
+def test_broken_markup_takes_linear_time(page):
+    import time
+
+    t0 = time.process_time()
+    main_text(page, TREE)
+    assert time.process_time() - t0 < 20
