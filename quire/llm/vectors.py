@@ -171,8 +171,9 @@ def near_vectors(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     found = stage_table(range_links(distinct.select("vid", "dim", "copies", "unit"), cosine), "links")
     counts = found.groupBy("vid").agg(F.sum("n").alias("n"))
     joined = components(found.where("n = 0").select(F.col("vid").alias("a"), F.col("to").alias("b")))
-    # Stand-ins are negative and must not name a component.
-    named = joined.where("node >= 0").groupBy("component").agg(F.min("node").alias("least"))
+    # Stand-ins must not name a component; ids may be negative too, so they are told apart by their rows.
+    real = distinct.where("vec_id is not null").select(F.col("vid").alias("node"))
+    named = joined.join(real, "node", "left_semi").groupBy("component").agg(F.min("node").alias("least"))
     joined = joined.join(named, "component").select("node", F.col("least").alias("component"))
     classes = (
         distinct.select("code", "vid", "copies", F.col("vec_id").alias("least"))

@@ -152,3 +152,10 @@ def test_vectors_without_and_with_repeated_ids(spark):
     table = spark.createDataFrame([(None, [1.0, 0.0]), (4, [1.0, 0.1]), (4, [1.0, 0.1]), (9, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = sorted(map(tuple, vectors.near_vectors(table).collect()), key=str)
     assert got == sorted([(None, 2, 4, True), (4, 2, 4, True), (4, 2, 4, True), (9, 0, 9, True)], key=str)
+
+
+def test_vectors_with_negative_ids(spark):
+    base, other = [1.0, 0.0, 0.1], [0.0, 1.0, 0.2]
+    rows = [(-5, base), (3, [1.0, 0.0, 0.11]), (-7, other), (-6, [0.0, 1.0, 0.21]), (None, [0.0, 1.0, 0.22])]
+    got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {(-5, 1, -5, True), (3, 1, -5, False), (-7, 2, -7, True), (-6, 2, -7, False), (None, 2, -7, True)}
