@@ -43,7 +43,8 @@ ASSIGN = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 GITHUB = re.compile(rb"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 NPM = re.compile(rb"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+JWT_HEAD = re.compile(rb"eyJ[A-Za-z0-9_-]+")
+JWT_REST = re.compile(rb"\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 HEX_IMAGE = bytes(0x68 if c in b"0123456789abcdef" else 0x20 for c in range(256))
@@ -69,10 +70,14 @@ def _checksummed(pattern: re.Pattern) -> Callable[[bytes, int], tuple[int, bool]
 
 
 def _jwt(raw: bytes, p: int):
-    m = JWT.match(raw, p)
-    if not m:
+    start = JWT_HEAD.match(raw, p)
+    if not start:
         return None
-    head = m[1]
+    m = JWT_REST.match(raw, start.end())
+    if not m:
+        # Whatever else starts within this run ends with it and fails alike.
+        return start.end(), False
+    head = start[0]
     try:
         ok = "alg" in json.loads(base64.urlsafe_b64decode(head + b"=" * (-len(head) % 4)))
     except (binascii.Error, ValueError, TypeError):

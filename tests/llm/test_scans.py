@@ -134,3 +134,13 @@ def test_tokens_by_given_spans():
     out = attribution.attribute(text, [(0, 5), (6, 11)], ids, lengths, "start")
     assert sum(s["n_tokens"] for s in out) == len(ids)
     assert out[-1]["section"] == -1
+
+
+def test_runs_of_token_heads_take_linear_time():
+    import time
+
+    scan = secret_scan.make_scanner()
+    t0 = time.process_time()
+    assert scan("eyJ" * 300_000) == [] and scan("eyJhbGci." * 50_000) == []
+    assert time.process_time() - t0 < 20
+    assert scan("EYJeyJhbGciOiJub25lIn0.e30.abc") == [("jwt", 3, 30)]
