@@ -39,7 +39,7 @@ from quire.session import stage_table
 WINDOW = 8
 COVERAGE = 0.3
 #: Slots of the gate that windows must pass before they are hashed.
-GATE = 1 << 18
+GATE = 1 << 16
 #: A window is looked at by one pair of neighbours, at a multiple of this.
 STRIDE = 4
 # Units that follow a number, longest first.
@@ -73,7 +73,7 @@ def is_slot(word: Column, types: str = TEMPLATES[-1]) -> Column:
     return F.startswith(word, F.lit(MARK)) & F.substring(word, 2, 1).isin(*types)
 
 
-def _bound(words: Column, body) -> Column:
+def _bound(words: Column, body, gate: bytes | None = None) -> Column:
     """Arrays that ``body`` makes of the words, their marked ones and their hashes in every template, joined to one; each is worked out once."""
     marked = lambda w: F.startswith(w, F.lit(MARK))
 
@@ -87,7 +87,8 @@ def _bound(words: Column, body) -> Column:
         return F.transform(w, hashed)
 
     def row(w: Column) -> Column:
-        return F.struct(w.alias("words"), F.transform(w, lambda x: F.when(marked(x), x)).alias("slots"), *[hashes(w, types).alias(f"t{k}") for k, types in enumerate(TEMPLATES)])
+        # The gate is bound here too, so that it stands in the plan once.
+        return F.struct(F.lit(bytearray(gate or b"")).alias("gate"), w.alias("words"), F.transform(w, lambda x: F.when(marked(x), x)).alias("slots"), *[hashes(w, types).alias(f"t{k}") for k, types in enumerate(TEMPLATES)])
 
     return F.flatten(F.transform(F.transform(F.array(words), row), body))
 
@@ -137,7 +138,7 @@ def windows(words: Column, sizes: list[int], gate: bytes | None = None) -> Colum
 
     def cut(d: Column) -> Column:
         n = F.size(d.words)
-        passes = lambda x: F.substring(F.lit(bytearray(gate)), F.pmod(x, F.lit(len(gate))).cast("int") + 1, 1) == F.lit(bytearray(b"\x01"))
+        passes = lambda x: F.substring(d.gate, F.pmod(x, F.lit(len(gate))).cast("int") + 1, 1) == F.lit(bytearray(b"\x01"))
 
         def opened(i: Column, alone: bool) -> Column:
             same = lambda k: F.get(d[f"t{k}"], i) == F.get(d.t0, i)
@@ -163,7 +164,7 @@ def windows(words: Column, sizes: list[int], gate: bytes | None = None) -> Colum
             parts.append(F.flatten(F.transform(F.array(starts), lambda at: F.concat(*[of(s, fits(at, s)) for s in several]))))
         return F.concat(*parts)
 
-    return _bound(words, cut)
+    return _bound(words, cut, gate)
 
 
 def _hashes(cut: DataFrame) -> DataFrame:
