@@ -317,9 +317,18 @@ class Views:
 
     @cached_property
     def terms(self) -> DataFrame:
-        return self.benchmark.selectExpr(
-            "lower(concat(split_part(text,' ',1),' (',split_part(text,' ',2),')')) term"
-        ).distinct()
+        """Each paper's glossary: all pairs of neighbouring words of a benchmark item, two spellings a term."""
+        words = F.filter(F.split(F.regexp_replace("text", "[ \n]+", " "), " "), lambda w: w != "")
+        n = F.greatest(F.size("w") - 1, F.lit(0))
+        items = self.benchmark.select(F.col("item_id").alias("item"), words.alias("w")).select(
+            "item",
+            F.explode(
+                F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda a, b: F.lower(F.concat(a, F.lit(" ("), b, F.lit(")"))))
+            ).alias("term"),
+        )
+        count = self.benchmark.select(F.count("*")).scalar()
+        owners = self.documents.select(F.col("doc_id").alias("paper_id"), (F.col("doc_id") % count).alias("item"))
+        return owners.join(items.distinct(), "item").select("paper_id", "term").distinct()
 
 
 _SHARED = {
@@ -336,7 +345,7 @@ _SHARED = {
     "journals_v": """select journal as name, row_number() over (order by journal) ord, 1+row_number() over (order by journal)%3 tier from (select distinct p_brand journal from part) z where journal not like '%5'""",
     "tree_v": """select concat('R',cast(r_regionkey as varchar)) k, cast(null as varchar) parent, r_name as name from region union all select concat('N',cast(n_nationkey as varchar)), concat('R',cast(n_regionkey as varchar)), n_name from nation union all select concat('S',cast(s_suppkey as varchar)), concat('N',cast(s_nationkey as varchar)), s_name from supplier""",
     "import_v": """select doc_id, sha1(text) hash, doc_id%3=0 existing, case when doc_id%4=0 then 'done' when doc_id%4=1 then 'error' when doc_id%4=2 then 'paused' else null end stage, doc_id%10*1000 paused_until from documents""",
-    "terms_v": """select distinct lower(concat(split_part(text,' ',1),' (',split_part(text,' ',2),')')) term from benchmark""",
+    "terms_v": """select distinct doc_id paper_id, term from documents join (select item_id, lower(concat(w[i],' (',w[i+1],')')) term from (select item_id, w, unnest(range(1, len(w))) i from (select item_id, list_filter(string_split(regexp_replace(text,'[ \n]+',' ','g'),' '), lambda x: x<>'') w from benchmark))) b on doc_id%(select count(*) from benchmark)=item_id""",
     "quiz_v": """select conv_id paper_id, turn qi, length(text)%4 answer, case when turn%5=0 then null else (length(text)+conv_id)%4 end chosen from conversations""",
     "registry_v": """select id, case when id%4=0 then null else doi end doi, journal, yr, case when id%9=2 then null else id%97 end first_page, case when id%9=2 then concat('withdrawn record ', cast(id as varchar)) else concat(title, case when id%3=0 then ' extra' else '' end, ' ', cast(id as varchar)) end title from works_v""",
     "hints_v": """select id, case when id%2=0 then null else doi end doi, case when id%5=0 then null else journal end journal, yr, case when id%7=0 or id%3=1 and id%11<>0 then null else id%97 end first_page, title, case when id%11=0 then ['page ' || id%9] when id%4=1 then ['running heading of volume ' || yr, title] when id%10=3 then ['short', title, title] else [title] end titles from (select * replace (concat(title,' ',cast(id as varchar)) as title) from works_v)""",

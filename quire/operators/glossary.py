@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.expr import let
+
 
 def variants(term: Column) -> Column:
     """Spellings of a term: split on commas and parentheses, two characters or more, longest first."""
@@ -14,15 +16,32 @@ def variants(term: Column) -> Column:
 
 
 def _spellings(terms: DataFrame) -> DataFrame:
-    return terms.select("term", F.explode(variants(F.col("term"))).alias("variant")).withColumn(
+    keys = [c for c in terms.columns if c != "term"]
+    return terms.select(*keys, "term", F.explode(variants(F.col("term"))).alias("variant")).withColumn(
         "variant", F.lower("variant")
     )
 
 
+def _pairs(text: Column | str) -> Column:
+    """Distinct pairs of neighbouring characters."""
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    return let(
+        chars,
+        lambda c: F.array_distinct(
+            F.zip_with(
+                F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))),
+                F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))),
+                lambda a, b: F.concat(a, b),
+            )
+        ),
+    )
+
+
 def first_occurrences(terms: DataFrame, sentences: DataFrame) -> DataFrame:
     """First sentence (reading order, labels skipped) of each paper that holds each term as whole words.
 
-    Sentences meet terms on the variant's first run of letters, or, if it has none (other
+    ``terms`` (paper_id, term) is each paper's own glossary; without paper_id one glossary
+    serves all papers. Sentences meet terms on the variant's first run of letters, or, if it has none (other
     scripts, numbers), on its first two characters; only sentences that hold these are
     checked, and the winner per (paper, term) is a partial aggregate.
     """
@@ -39,28 +58,44 @@ def first_occurrences(terms: DataFrame, sentences: DataFrame) -> DataFrame:
     padded = F.concat(F.lit(" "), "low", F.lit(" "))
     whole = F.concat(F.lit(r"[^a-z]\Q"), "variant", F.lit(r"\E[^a-z]"))
     return (
-        tokens.join(spell, "token")
+        tokens.join(spell, [c for c in ("paper_id", "token") if c in spell.columns])
         .where(((F.col("token") == F.col("variant")) & F.col("token").rlike("[a-z]")) | F.rlike(padded, whole))
         .groupBy("paper_id", "term")
         .agg(F.min_by("sid", "ord").alias("sid"))
     )
 
 
+def meetings(terms: DataFrame, batches: DataFrame, *key: str) -> DataFrame:
+    """Rows (key..., term, variant) of the batches that hold the rarest character pair of a spelling."""
+    owner = [c for c in key if c in terms.columns]
+    spell = _spellings(terms).distinct()
+    grams = batches.select(*key, F.explode(_pairs(F.lower("text"))).alias("gram"))
+    held = grams.groupBy(*owner, "gram").agg(F.count("*").alias("n"))
+    parts = spell.withColumn("grams", _pairs("variant")).select(
+        *owner, "term", "variant", F.size("grams").alias("need"), F.explode("grams").alias("gram")
+    )
+    rarest = (
+        parts.join(held, [*owner, "gram"])
+        .groupBy(*owner, "term", "variant", "need")
+        .agg(F.min(F.struct("n", "gram")).getField("gram").alias("gram"), F.count("*").alias("found"))
+        .where("found = need")
+        .drop("need", "found")
+    )
+    return grams.join(rarest, [*owner, "gram"]).select(*key, "term", "variant")
+
+
 def relevant_terms(terms: DataFrame, batches: DataFrame, *key: str) -> DataFrame:
     """Terms with a spelling contained in the batch text: rows (key..., term).
 
-    A contained string brings its first two characters with it, so batches and terms
-    meet on the batch's distinct character pairs instead of in a cross product.
+    ``terms`` holds a term and those of the ``key`` columns that own it (a paper's own
+    glossary); with none of them, one glossary serves all batches. ``key`` names a batch and
+    is not null; a batch without text holds nothing.
+
+    A spelling contained in a text brings all its character pairs with it, so it meets only
+    the batches that hold the rarest of them: pairs are counted over the owner's batches, a
+    spelling with a pair that none of these holds goes, and the text itself is read for the
+    batches that remain. The rarest pair bounds the candidates, however common the others are.
     """
-    spell = _spellings(terms).withColumn("gram", F.substring("variant", 1, 2))
-    low = batches.withColumn("low", F.lower("text"))
-    chars = F.regexp_extract_all("low", F.lit("(?s)."), F.lit(0))
-    n = F.greatest(F.size("chars") - 1, F.lit(0))
-    grams = (
-        low.withColumn("chars", chars)
-        .withColumn("grams", F.array_distinct(F.zip_with(F.slice("chars", 1, n), F.slice("chars", 2, n), lambda a, b: F.concat(a, b))))
-        .select(*key, "low", F.explode("grams").alias("gram"))
-    )
-    return (
-        grams.join(spell, "gram").where(F.contains("low", "variant")).select(*key, "term").distinct()
-    )
+    low = batches.select(*key, F.lower("text").alias("low"))
+    near = meetings(terms, batches, *key).join(low, list(key))
+    return near.where(F.contains("low", "variant")).select(*key, "term").distinct()

@@ -306,13 +306,13 @@ def t15(v: Views):
     )
 
 
-_VARIANTS = r"""vs as (select term, trim(x) variant from (select term, unnest(regexp_split_to_array(term, ',\s*|\s*\(|\)')) x from terms_v) where length(trim(x)) >= 2)"""
+_VARIANTS = r"""vs as (select paper_id, term, trim(x) variant from (select paper_id, term, unnest(regexp_split_to_array(term, ',\s*|\s*\(|\)')) x from terms_v) where length(trim(x)) >= 2)"""
 
 
 @query(
     "T16_glossary_first_occurrence",
-    rf"""with {_VARIANTS}, hit as (select paper_id, term, sid, ord from (select paper_id, sid, ord, ' '||lower(text)||' ' low from sentences_v where kind <> 'label') s
-      join vs on contains(low, variant) and regexp_matches(low, '[^a-z]'||regexp_escape(variant)||'[^a-z]'))
+    rf"""with {_VARIANTS}, hit as (select s.paper_id, term, sid, ord from (select paper_id, sid, ord, ' '||lower(text)||' ' low from sentences_v where kind <> 'label') s
+      join vs on s.paper_id = vs.paper_id and contains(low, variant) and regexp_matches(low, '[^a-z]'||regexp_escape(variant)||'[^a-z]'))
       select paper_id, term, arg_min(sid, ord) sid from hit group by all""",
 )
 def t16(v: Views):
@@ -331,7 +331,7 @@ def page_batches(v: Views):
 @query(
     "T17_glossary_relevance",
     rf"""with {_VARIANTS}, b as (select paper_id, page, lower(string_agg(text, ' ' order by ord)) low from sentences_v group by all)
-      select distinct paper_id, page, term from b join vs on contains(low, variant)""",
+      select distinct b.paper_id, page, term from b join vs on b.paper_id = vs.paper_id and contains(low, variant)""",
 )
 def t17(v: Views):
     return G.relevant_terms(v.terms, page_batches(v), "paper_id", "page")

@@ -65,3 +65,38 @@ def test_terms_without_latin_letters(spark):
     got = {r.term: r.sid for r in first_occurrences(terms, s).collect()}
     assert got == {"潮汐": "1.2", "tide, 潮位計 (gauge)": "1.3", "42%": "1.4"}
     assert first_occurrences(terms, s.withColumn("text", F.lit("x潮汐x"))).count() == 0
+
+
+def test_relevant_terms_equal_brute_force(spark):
+    from quire.operators.glossary import relevant_terms
+
+    glossary = [(1, "tide (潮汐)"), (1, "in (it)"), (1, "Ebb, slack"), (2, "tide (gauge)"), (2, "zz"), (2, None), (3, "a"), (9, "tide")]
+    texts = [(1, 0, "The TIDE is in."), (1, 1, "潮汐 and it"), (1, 2, None), (2, 0, "tidegauge"), (2, 1, ""), (3, 0, "a"), (1, 3, "black slacks")]
+    terms = spark.createDataFrame(glossary, "paper_id long, term string")
+    batches = spark.createDataFrame(texts, "paper_id long, page int, text string")
+    cuts = {t: [v.strip() for v in t.replace(")", "").replace(" (", ",").split(",") if len(v.strip()) > 1] for _, t in glossary if t}
+    want = {
+        (p, g, t) for p, g, x in texts for q, t in glossary if x and t and p == q and any(v.lower() in x.lower() for v in cuts[t])
+    }
+    got = relevant_terms(terms, batches, "paper_id", "page").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    shared = relevant_terms(terms.select("term").distinct(), batches, "paper_id", "page").collect()
+    assert {(1, 0, "tide"), (2, 0, "tide"), (1, 3, "Ebb, slack"), (2, 0, "tide (gauge)")} <= {tuple(r) for r in shared}
+    assert relevant_terms(terms.limit(0), batches, "paper_id", "page").count() == 0
+
+
+def test_a_spelling_meets_on_its_rarest_pair(spark):
+    """A common pair does not multiply candidates: 'thz' meets the one batch with 'hz', not all with 'th'."""
+    from quire.operators.glossary import meetings, relevant_terms
+
+    batches = spark.range(200).selectExpr("id page", "if(id = 7, 'the thz', 'the thin') text")
+    terms = spark.createDataFrame([("thz",), ("thq",)], "term string")
+    assert [tuple(r) for r in meetings(terms, batches, "page").collect()] == [(7, "thz", "thz")]
+    assert [tuple(r) for r in relevant_terms(terms, batches, "page").collect()] == [(7, "thz")]
+
+
+def test_glossaries_are_kept_apart(spark):
+    terms = spark.createDataFrame([(1, "tide"), (2, "gauge")], "paper_id long, term string")
+    rows = [(p, f"1.{n}", n, t, "para") for p in (1, 2) for n, t in ((1, "gauge here"), (2, "tide there"))]
+    s = spark.createDataFrame(rows, "paper_id long, sid string, ord long, text string, kind string")
+    assert {tuple(r) for r in first_occurrences(terms, s).collect()} == {(1, "tide", "1.2"), (2, "gauge", "1.1")}
