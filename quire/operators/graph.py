@@ -153,15 +153,19 @@ def rank_related(
 
 
 def tree_paths(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """Depth and sortable path of every node of a parent-pointer forest, level by level."""
-    level = nodes.where("parent is null").select("k", "name", F.lit(0).alias("depth"), F.col("k").alias("path"))
-    out, depth = level, 0
-    kids = nodes.where("parent is not null").select(F.col("k"), "name", "parent")
-    while depth < max_depth:
-        depth += 1
-        up = level.select(F.col("k").alias("parent"), F.col("path").alias("up"))
-        level = kids.join(up, "parent").select("k", "name", F.lit(depth).alias("depth"), F.concat_ws("/", "up", "k").alias("path"))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    raise ValueError(f"tree deeper than {max_depth} levels, or a cycle")
+    """Depth and sortable path of every node (k, name, parent) that hangs on a root, by a recursive query.
+
+    A tree deeper than ``max_depth`` levels, as a cycle that a root leads into makes it, is an
+    error; nodes that no root leads to are left out. The session's
+    ``spark.sql.cteRecursionRowLimit`` bounds the nodes.
+    """
+    too_deep = f"raise_error('tree deeper than {max_depth} levels, or a cycle')"
+    return nodes.sparkSession.sql(
+        f"""WITH RECURSIVE walk(k, name, depth, path) MAX RECURSION LEVEL {max_depth + 2} AS (
+              SELECT k, name, 0, k FROM {{nodes}} WHERE parent IS NULL
+              UNION ALL
+              SELECT t.k, t.name, CASE WHEN walk.depth < {max_depth} THEN walk.depth + 1 ELSE {too_deep} END, concat(walk.path, '/', t.k)
+              FROM {{nodes}} t JOIN walk ON t.parent = walk.k)
+            SELECT * FROM walk""",
+        nodes=nodes,
+    )

@@ -72,8 +72,8 @@ def manager_states(items: DataFrame, attachments: DataFrame, library: DataFrame)
         items.withColumn("_doi", F.lower("doi"))
         .join(have.withColumn("_have", F.lit(True)), "key", "left")
         .join(pdf.withColumn("_pdf", F.lit(True)), "key", "left")
-        .join(dois.withColumn("_dup", F.lit(True)), "_doi", "left")
     )
+    j = left_join(j, dois.withColumn("_dup", F.lit(True)), ["_doi"], ["key"])
     has_pdf = F.col("_pdf") & (F.col("num_children") > 0)
     state = (
         F.when(F.col("_have"), "exists")

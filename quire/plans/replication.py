@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quire.fixtures import Views
 from quire.operators import replication as R
 from quire.plans.registry import query
+from quire.session import ensure_checkpoint_dir
 from quire.sources import backup as B
+from quire.sources import replace_sets
 
 LOCAL, REMOTE = "origin = 'local'", "origin = 'remote'"
 COLS = 'user_id, tbl, id, "data", updated_at, rev, deleted'
@@ -124,6 +128,35 @@ def m9(v: Views):
     return R.replace_rows(old, new, v.sentences)
 
 
+@query(
+    "M9_replace_set_store",
+    """with old as (select distinct paper_id, sid, category from annotations_v where category='purchase'),
+       nw as (select distinct paper_id, case when e>25 then '0.0' else sid end sid, category from annotations_v where category='click' and s=3),
+       kept as (select * from old where paper_id not in (select paper_id from nw) union all select nw.* from nw semi join sentences_v s on s.paper_id=nw.paper_id and s.sid=nw.sid)
+       select 'set' part, paper_id, sid, category as value from kept
+       union all select 'legacy', id, null, case when id not in (select paper_id from nw) then title end from papers_v""",
+)
+def m9_store(v: Views):
+    """The same write on files: sets replaced in place, the papers' legacy column cleared, both read back."""
+    cols = ["paper_id", "sid", "category"]
+    old = v.annotations.where("category = 'purchase'").select(*cols).distinct()
+    new = v.annotations.where("category = 'click' and s = 3")
+    new = new.select("paper_id", F.when(F.col("e") > 25, "0.0").otherwise(F.col("sid")).alias("sid"), "category").distinct()
+    base = f"{ensure_checkpoint_dir(v.spark).rstrip('/')}/sets-{uuid.uuid4().hex}"
+    sets, papers = f"{base}/highlights", f"{base}/papers"
+    replace_sets.create(old, sets, buckets=16)
+    replace_sets.create(v.papers.select(F.col("id").alias("paper_id"), F.col("title").alias("legacy")), papers, buckets=16)
+    # The legacy form goes after the new one is written, so that a lost run never leaves a paper with neither.
+    replace_sets.replace(sets, new, v.sentences, buckets=16)
+    replace_sets.clear_column(papers, new, "legacy", buckets=16)
+    kept = replace_sets.read(v.spark, sets).select(F.lit("set").alias("part"), "paper_id", "sid", F.col("category").alias("value"))
+    return kept.unionByName(
+        replace_sets.read(v.spark, papers).select(
+            F.lit("legacy").alias("part"), "paper_id", F.lit(None).cast("string").alias("sid"), F.col("legacy").alias("value")
+        )
+    )
+
+
 @query(
     "M11_reference_nulling",
     "select k, name, case when parent like '%4' or parent like '%7' then '' else coalesce(parent, '') end parent from tree_v",

@@ -12,6 +12,7 @@ from quire.operators import ordering as O
 from quire.operators import replication as R
 from quire.sources import backup as BK
 from quire.sources import records as N
+from quire.sources import replace_sets as RS
 from quire.sources import sinks as X
 from quire.streaming import live as L
 
@@ -180,3 +181,49 @@ def test_title_search_meets_few(spark):
     assert [(r.id, r.work, r.dice) for r in K.best_titles(asked, many, 0.75).collect()] == [(1, 77, 1.0)]
     found = K.search_titles(spark.createDataFrame([("tidal gauges number 77 of harbour 0",)], "key string"), K._registry_keys(many)).collect()
     assert len(found) <= K.CANDIDATES
+
+
+def test_replace_sets_on_files(spark, tmp_path):
+    path, cols = str(tmp_path / "sets"), "paper_id long, sid string, c string"
+    frame = lambda rows: spark.createDataFrame(rows, cols)
+    RS.create(frame([(1, "1.1", "a"), (1, "1.2", "a"), (2, "1.1", "a"), (3, "1.1", "a"), (None, "1.1", "a")]), path, buckets=2, files=2)
+    valid = spark.createDataFrame([(p, "1.1") for p in (1, 2, 3, 4)], "paper_id long, sid string")
+    # Paper 2 has only an invalid row, so it loses its set; a null paper owns nothing; 4 is new.
+    new = frame([(1, "1.1", "b"), (1, "9.9", "b"), (2, "9.9", "b"), (4, "1.1", "b"), (None, "1.1", "b")])
+    for _ in range(2):  # a repeated write changes nothing
+        RS.replace(path, new, valid, buckets=2, files=2)
+        got = sorted(tuple(r) for r in RS.read(spark, path).select("paper_id", "sid", "c").collect())
+        assert got == [(1, "1.1", "b"), (3, "1.1", "a"), (4, "1.1", "b")]
+    # All sets of every bucket emptied: the old files do not stay.
+    RS.replace(path, frame([(p, "9.9", "x") for p in (1, 3, 4)]), valid, buckets=2)
+    assert RS.read(spark, path).count() == 0
+    RS.replace(path, frame([]), valid, buckets=2)
+    assert RS.read(spark, path).count() == 0
+
+
+def test_replace_leaves_other_buckets_alone(spark, tmp_path):
+    path = tmp_path / "many"
+    RS.create(spark.range(200).selectExpr("id paper_id", "'1.1' sid", "'old' c"), str(path), buckets=8)
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in path.glob("_bucket=*/*.parquet")}
+    before = files()
+    RS.clear_column(str(path), spark.range(1).selectExpr("id paper_id"), "c", buckets=8)
+    after = files()
+    assert sum(before[f] == after.get(f) for f in before) == 7
+    assert [tuple(r) for r in RS.read(spark, str(path)).where("c is null").collect()] == [(0, "1.1", None)]
+    assert RS.read(spark, str(path)).count() == 200
+
+
+def test_tree_paths_and_cycles(spark):
+    import pytest
+
+    from quire.operators.graph import tree_paths
+
+    nodes = lambda rows: spark.createDataFrame(rows, "k string, parent string, name string")
+    chain = [("n0", None, "x")] + [(f"n{i}", f"n{i - 1}", "x") for i in range(1, 65)]
+    got = {r.k: (r.depth, r.path) for r in tree_paths(nodes(chain + [("lost", "gone", "x"), ("a", "b", "x"), ("b", "a", "x")])).collect()}
+    assert len(got) == 65 and got["n64"][0] == 64 and got["n2"] == (2, "n0/n1/n2")
+    assert tree_paths(nodes([])).count() == 0
+    with pytest.raises(Exception, match="deeper than 64"):
+        tree_paths(nodes([*chain, ("n65", "n64", "x")])).collect()
+    with pytest.raises(Exception, match="or a cycle"):
+        tree_paths(nodes([("r", None, "x"), ("c", "r", "x"), ("d", "c", "x"), ("c", "d", "x")])).collect()
