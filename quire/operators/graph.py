@@ -34,11 +34,17 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str
 
 
 def neighbours(edges: DataFrame, works: DataFrame, max_refs: int = 150, max_citing: int = 25) -> DataFrame:
-    """(seed, direction, rank, work): references by title order, citing works by citation count."""
-    meta = works.select(F.col("id").alias("work"), "title", "cited_by")
+    """(seed, direction, rank, work): references by first author, citing works by citation count.
+
+    ``works`` (id, cited_by, family): the first author's family name, null sorts as an empty
+    one. Names are compared by the root collation, accents and case last; equal ones keep the
+    order of ids, by which the list of references is also cut.
+    """
+    meta = works.select(F.col("id").alias("work"), "cited_by", F.coalesce("family", F.lit("")).alias("family"))
     refs = top_k(edges.select(F.col("src").alias("seed"), F.col("dst").alias("work")), ["seed"], [F.col("work")], max_refs)
     refs = refs.drop("rank").join(meta, "work")
-    refs = refs.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy("title", "work")))
+    by_name = Window.partitionBy("seed").orderBy(F.collate("family", "UNICODE"), "work")
+    refs = refs.withColumn("rank", F.row_number().over(by_name))
     citing = edges.select(F.col("dst").alias("seed"), F.col("src").alias("work")).join(meta, "work")
     citing = top_k(citing, ["seed"], [F.col("cited_by").desc(), F.col("work")], max_citing)
     keep = ["seed", "work", "rank", "cited_by"]

@@ -85,15 +85,21 @@ def u3(v: Views):
     return G.not_owned(v.works, owned(v)).select("id")
 
 
+# A work's first author stands in its title, turned round; every fifth work names none.
+FAMILY = "case when id%5=0 then null when id%3=1 then lower({n}) else {n} end family"
+
+
 @query(
     "J15_citation_neighbours",
-    """with r as (select src seed, dst work from edges_v qualify row_number() over (partition by src order by dst) <= 150),
-       refs as (select seed, work, row_number() over (partition by seed order by title, work) rank, cited_by, 'reference' direction from r join works_v on id=work),
-       c as (select dst seed, src work, cited_by, row_number() over (partition by dst order by cited_by desc, src) rank from edges_v join works_v on id=src qualify rank <= 25)
+    f"""with w as (select id, cited_by, {FAMILY.format(n="concat(upper(split_part(title,' ',2)[1]), split_part(title,' ',2)[2:], split_part(title,' ',1))")} from works_v),
+       r as (select src seed, dst work from edges_v qualify row_number() over (partition by src order by dst) <= 150),
+       refs as (select seed, work, row_number() over (partition by seed order by lower(coalesce(family,'')), coalesce(family,'') desc, work) rank, cited_by, 'reference' direction from r join w on id=work),
+       c as (select dst seed, src work, cited_by, row_number() over (partition by dst order by cited_by desc, src) rank from edges_v join w on id=src qualify rank <= 25)
        select seed, work, rank, cited_by, direction from refs union all select seed, work, rank, cited_by, 'cited_by' from c""",
 )
 def j15(v: Views):
-    return G.neighbours(v.edges, v.works)
+    name = "concat(initcap(split_part(title,' ',2)), split_part(title,' ',1))"
+    return G.neighbours(v.edges, v.works.selectExpr("id", "cited_by", FAMILY.format(n=name)))
 
 
 @query(

@@ -61,14 +61,11 @@ def r3(v: Views):
 
 @query("R3_debounce_stream", SESSIONS)
 def r3s(v: Views):
-    s = event_stream(v).withColumn("tbl", F.col("event_type"))
-    closed = L.bursts(s, "ts", "30 minutes", ["user_id", "tbl"])
-    # Complete bursts leave in update mode as well, so the last ones need no further event.
-    out = L.drain(closed, "complete", "bursts")
+    s = event_stream(v).select("user_id", F.col("event_type").alias("tbl"), "ts")
+    ended = L.with_end(s, "ts", v.table("events").agg(F.max("ts").cast("timestamp").alias("ts")), "30 minutes")
+    out = L.drain(L.bursts(ended, "ts", "30 minutes", ["user_id", "tbl"]), "append", "bursts")
     ms = lambda c: F.floor(F.unix_micros(c) / 1000).cast("bigint")
-    return out.where(F.col("batch") == out.agg(F.max("batch").alias("m")).select("m").scalar()).select(
-        "user_id", "tbl", ms("first_at").alias("first_at"), ms("last_at").alias("last_at"), "marks"
-    )
+    return out.select("user_id", "tbl", ms("first_at").alias("first_at"), ms("last_at").alias("last_at"), "marks")
 
 
 @query("R5_micro_batched_upsert", LATEST)

@@ -38,11 +38,29 @@ def without_repeats(changes: DataFrame, event_time: str, overlap: str = "15 seco
 
 
 def bursts(marks: DataFrame, event_time: str, gap: str, keys: list[str], lateness: str = "0 seconds") -> DataFrame:
-    """Debounced marks: one row per burst of a key, closed when nothing came for ``gap``."""
+    """Debounced marks: one row per burst of a key, closed when nothing came for ``gap``.
+
+    In append mode a burst leaves once the watermark has passed its end, and its state with it;
+    what is kept is the bursts still open.
+    """
     g = marks.withWatermark(event_time, lateness).groupBy(*keys, F.session_window(event_time, gap).alias("s"))
     return g.agg(F.min(event_time).alias("first_at"), F.max(event_time).alias("last_at"), F.count("*").alias("marks")).drop("s")
 
 
+def with_end(marks: DataFrame, event_time: str, last: DataFrame, gap: str) -> DataFrame:
+    """A stream over finished input and one mark later than all of it, so that the last bursts close too.
+
+    A stream that goes on needs none. ``last`` holds the input's latest ``event_time`` in one
+    row; the added mark comes two gaps later, is null in all other columns and opens a burst
+    that never closes. The input must be read in one batch, or later batches would be late.
+    """
+    spark = marks.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/end-{uuid.uuid4().hex}"
+    late = F.coalesce(event_time, F.lit("1970-01-01").cast("timestamp")) + F.expr(f"2 * interval '{gap}'")
+    last.select(*[late.alias(c) if c == event_time else F.lit(None).cast(marks.schema[c].dataType).alias(c) for c in marks.columns]).write.parquet(path)
+    return marks.unionByName(read_stream(spark, path, marks.schema))
+
+
 def counts(events: DataFrame, *keys: str) -> DataFrame:
     """Continuously maintained counts and latest time per key."""
     return events.groupBy(*keys).agg(F.count("*").alias("n"), F.max("ms").alias("last_ms"))

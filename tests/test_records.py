@@ -227,3 +227,34 @@ def test_tree_paths_and_cycles(spark):
         tree_paths(nodes([*chain, ("n65", "n64", "x")])).collect()
     with pytest.raises(Exception, match="or a cycle"):
         tree_paths(nodes([("r", None, "x"), ("c", "r", "x"), ("d", "c", "x"), ("c", "d", "x")])).collect()
+
+
+def test_neighbours_are_ordered_by_first_author(spark):
+    from quire.operators.graph import neighbours
+
+    works = spark.createDataFrame(
+        [(1, 5, "Ob"), (2, 1, "éa"), (3, 2, "Zo"), (4, 9, None), (5, 0, "ea"), (6, 0, "Ea"), (7, 0, "ob")], "id long, cited_by long, family string"
+    )
+    edges = spark.createDataFrame([(9, i) for i in range(1, 8)] + [(3, 9), (4, 9)], "src long, dst long")
+    got = neighbours(edges, works).where("seed = 9").collect()
+    assert [r.work for r in sorted(got, key=lambda r: r["rank"]) if r.direction == "reference"] == [4, 5, 6, 2, 7, 1, 3]
+    assert [r.work for r in sorted(got, key=lambda r: r["rank"]) if r.direction == "cited_by"] == [4, 3]
+    cut = neighbours(edges, works, max_refs=3, max_citing=1).where("seed = 9").collect()
+    assert {(r.direction, r["rank"], r.work) for r in cut} == {("reference", 1, 2), ("reference", 2, 1), ("reference", 3, 3), ("cited_by", 1, 4)}
+
+
+def test_closed_bursts_leave_no_state(spark, tmp_path):
+    marks = spark.range(3000).selectExpr("id % 7 user_id", "timestamp_seconds(id * 600) ts")
+    marks.write.parquet(str(tmp_path / "in"))
+    s = L.read_stream(spark, str(tmp_path / "in"), marks.schema)
+    ended = L.with_end(s, "ts", marks.agg(F.max("ts").alias("ts")), "30 minutes")
+    rows = []
+    q = (
+        L.bursts(ended, "ts", "30 minutes", ["user_id"]).writeStream.outputMode("append")
+        .foreachBatch(lambda b, _: rows.extend(b.collect()))
+        .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    # A mark every 70 minutes per key: each is a burst of its own; the end mark alone stays open.
+    assert len(rows) == 3000 and sum(r.marks for r in rows) == 3000
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
