@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.expr import let
+from quire.operators.joins import left_join
 
 SENT = ["paper_id", "sid"]
 
@@ -166,3 +167,26 @@ def reparse_candidates(papers: DataFrame, highlights: DataFrame, current: int) -
     used = live(highlights).select("paper_id").distinct()
     old = papers.where(F.coalesce("engine_version", F.lit(1)) < current)
     return old.join(used, old.id == used.paper_id, "left_anti")
+
+
+def reference_faults(refs: DataFrame, sentences: DataFrame, *by: str) -> DataFrame:
+    """How many references (paper_id, sid, block, s, e) per ``by`` do not fit the corpus: rows (by..., n, unknown, bad_ranges, orphans).
+
+    ``unknown`` names no sentence; ``bad_ranges`` is empty, negative, missing or runs beyond its
+    sentence's text; ``orphans`` names a block its sentence does not belong to, or no sentence.
+    Equal references are counted once before they meet the sentences, so a much-marked
+    sentence brings no more rows than it has different marks.
+    """
+    cols = ["paper_id", "sid", "block", "s", "e"]
+    marks = refs.groupBy(*cols, *by).agg(F.count("*").alias("_n"))
+    own = sentences.select("paper_id", "sid", F.col("block").alias("_block"), F.coalesce(F.length("text"), F.lit(0)).alias("_len"))
+    j = left_join(marks, own, ["paper_id", "sid"], [*cols, *by])
+    known = F.col("_len").isNotNull()
+    fits = F.coalesce((F.col("s") >= 0) & (F.col("s") < F.col("e")) & (F.col("e") <= F.col("_len")), F.lit(False))
+    count = lambda bad: F.sum(F.when(bad, F.col("_n")).otherwise(F.lit(0)))
+    return j.groupBy(*by).agg(
+        F.sum("_n").alias("n"),
+        count(~known).alias("unknown"),
+        count(known & ~fits).alias("bad_ranges"),
+        count(~known | ~F.equal_null("block", "_block")).alias("orphans"),
+    )

@@ -383,6 +383,19 @@ def g9(v: Views):
     )
 
 
+@query(
+    "G9_offsets_and_orphans",
+    """with a as (select *, concat('0-', cast(s%5 as varchar)) block from annotations_v),
+       j as (select a.*, x.text, x.block own, x.sid is not null known from a left join sentences_v x on x.paper_id=a.paper_id and x.sid=a.sid)
+       select category, count(*) n, count(*) filter (not known) unknown, count(*) filter (known and (s<0 or s>=e or e>length(text))) bad_ranges,
+       count(*) filter (own is distinct from block) orphans from j group by category""",
+)
+def g9_faults(v: Views):
+    # An annotation claims the line its start falls on as its block.
+    block = F.concat(F.lit("0-"), (F.col("s") % 5).cast("string"))
+    return A.reference_faults(v.annotations.withColumn("block", block), v.sentences, "category")
+
+
 @query(
     "G10_ordered_string_aggregation",
     """select paper_id, 0 part, string_agg('['||color||'] '||sid||' '||note, chr(10) order by created_at, id) notes, count(*) n from annotations_v where not deleted group by paper_id""",

@@ -258,3 +258,18 @@ def test_closed_bursts_leave_no_state(spark, tmp_path):
     # A mark every 70 minutes per key: each is a burst of its own; the end mark alone stays open.
     assert len(rows) == 3000 and sum(r.marks for r in rows) == 3000
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+
+
+def test_reference_faults(spark):
+    from quire.operators.annotations import reference_faults
+
+    s = spark.createDataFrame([(1, "1.1", "b1", "abcde"), (1, "1.2", "b2", "")], "paper_id long, sid string, block string, text string")
+    refs = [
+        (1, "1.1", "b1", 0, 5, "x"), (1, "1.1", "b1", 0, 5, "x"), (1, "1.1", "b1", 0, 6, "x"), (1, "1.1", "b9", 2, 2, "x"),
+        (1, "1.1", None, -1, 2, "x"), (1, "1.2", "b2", 0, 1, "x"), (1, "7.7", "b1", 0, 1, "x"), (None, None, None, None, None, "x"),
+        (1, "1.1", "b1", None, 3, "y"),
+    ]
+    refs = spark.createDataFrame(refs, "paper_id long, sid string, block string, s int, e int, kind string")
+    got = {r.kind: tuple(r)[1:] for r in reference_faults(refs, s, "kind").collect()}
+    assert got == {"x": (8, 2, 4, 4), "y": (1, 0, 1, 0)}
+    assert reference_faults(refs.limit(0), s, "kind").count() == 0
