@@ -197,6 +197,15 @@ class Views:
             "case when k%9=0 then 'n' else '' end note", "ms created_at", "(event_type='signup' and k<20) deleted",
         )
 
+    @cached_property
+    def ranges(self) -> DataFrame:
+        """Highlights by range: one in three runs on over the next sentences and comes back to its first."""
+        more = F.when(F.col("id") % 3 == 0, F.sequence(F.lit(0), F.lit(3))).otherwise(F.array(F.lit(0)))
+        rows = self.annotations.withColumn("home", F.substr("sid", F.lit(3)).cast("bigint")).withColumn("pos", F.explode(more))
+        at = F.when(F.col("pos") < 3, F.col("home") + F.col("pos")).otherwise(F.col("home"))
+        rows = rows.withColumn("sid", F.concat(F.lit("1."), at.cast("string")))
+        return rows.withColumn("s", F.when(F.col("pos") == 0, F.col("s")).otherwise(0)).drop("home")
+
     @cached_property
     def changes(self) -> DataFrame:
         return self.ev.selectExpr(
@@ -241,6 +250,15 @@ class Views:
         )
         return own.unionByName(both)
 
+    @cached_property
+    def outputs(self) -> DataFrame:
+        """All machine output of the bundles: translations, categories of two texts in three, and pages of four turns."""
+        cols = ("paper_id", "origin", "epoch")
+        t = self.bundles.selectExpr(*cols, "'t' layer", "sid key", "t value", "mock")
+        c = self.bundles.where("length(t)%3<>1").selectExpr(*cols, "'c' layer", "sid key", "case when length(t)%2=0 then 'gap' else 'method' end value", "false mock")
+        p = self.bundles.where("not mock").selectExpr(*cols, "'p' layer", "cast(cast(floor(cast(substr(sid,3) as int)/4) as int) as string) key", "'done' value", "false mock")
+        return t.unionByName(c).unionByName(p.distinct())
+
     @cached_property
     def quiz(self) -> DataFrame:
         return self.conversations.selectExpr(
@@ -336,6 +354,8 @@ _SHARED = {
     "text_items_v": """select paper_id, cast(floor(r/40) as bigint) page, wi ix, str, 54.0::double+290.0*floor((r%40)/20)+32.0*(wi%8) x, 72.0::double+12.0*(r%20) y, case when length(str)>6 then 30.0::double else 5.0::double*length(str) end w, 10.0::double h, 80.0::double+12.0*(r%20) base, case when r=0 then 14.0::double when paper_id%7=0 and r%20>15 then 8.0 else 10.0 end fs, case when r=0 then 'B' else 'T' end font from (select *, cast(floor(wi/8) as bigint) r from words_v)""",
     "papers_v": """select doc_id id, split_part(text,chr(10),1) title, source journal, 1+doc_id%3 n_authors, case when doc_id%11=0 then null else 1990+doc_id%35 end yr, case when doc_id%5=0 then null else concat('10.',cast(1000+doc_id%9000 as varchar),'/',source,'.',cast(doc_id as varchar)) end doi, doc_id%6 rating, doc_id%5 folder_id, doc_id%4<>0 has_file, case when doc_id%3=0 then null else doc_id*7919%100003 end last_opened_at, doc_id*1000 added_at, case when doc_id%8=0 then null else 100+doc_id%50 end page_offset, doc_id%17=0 deleted from documents""",
     "annotations_v": """select event_id id, user_id paper_id, concat('1.',cast(1+k%5 as varchar)) sid, case when event_id%2=0 then 'src' else 'tgt' end side, k%10 s, k%10+5+k%20 e, event_id%5 color, event_type category, case when event_type='error' then 'comment' else 'highlight' end style, case when k%9=0 then 'n' else '' end note, ms created_at, (event_type='signup' and k<20) deleted from ev_v""",
+    "ranges_v": """select id, paper_id, '1.'||cast(cast(substr(sid,3) as bigint)+case when pos<3 then pos else 0 end as varchar) sid, side, case when pos=0 then s else 0 end s, e, color, category, style, note, created_at, deleted, pos from (select *, unnest(case when id%3=0 then [0,1,2,3] else [0] end) pos from annotations_v) z""",
+    "outputs_v": """select paper_id, origin, epoch, 't' layer, sid "key", t "value", mock from bundles_v union all select paper_id, origin, epoch, 'c', sid, case when length(t)%2=0 then 'gap' else 'method' end, false from bundles_v where length(t)%3<>1 union all select distinct paper_id, origin, epoch, 'p', cast(cast(substr(sid,3) as int)//4 as varchar), 'done', false from bundles_v where not mock""",
     "changes_v": """select user_id, event_type tbl, k id, value "data", cast(floor(ms/3600000) as bigint)*3600000 updated_at, event_id rev, event_id%13=0 deleted, case when event_id%2=0 then 'local' else 'remote' end origin from ev_v""",
     "pairs_v": """select u.conv_id, u.turn, u.text src, case when u.conv_id%4=0 then concat(u.text,' ',a.text) when u.conv_id%4=1 then concat(u.text,' 翻譯。') when u.conv_id%4=2 then u.text else a.text end t from conversations u join conversations a on u.conv_id=a.conv_id and a.turn=u.turn+1 where u.role='user'""",
     "translations_v": """select paper_id, sid, page, case when (ord*31+paper_id)%7=0 then null else concat('T:',text) end t, (ord*31+paper_id)%11=0 mock from sentences_v where kind<>'label'""",

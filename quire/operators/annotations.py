@@ -21,15 +21,29 @@ def live(df: DataFrame) -> DataFrame:
     return df.where(~F.coalesce(F.col("deleted"), F.lit(False)))
 
 
-def mirrored(highlights: DataFrame, sentences: DataFrame, translations: DataFrame) -> DataFrame:
-    """Both language texts of every highlight range: own words on the drawn side, whole sentence on the other."""
-    h = highlights.join(sentences.select(*SENT, "text"), SENT, "left").join(translations.select(*SENT, "t"), SENT, "left")
+def mirrored(ranges: DataFrame, sentences: DataFrame, translations: DataFrame) -> DataFrame:
+    """Both language texts of every highlight: its own words on the drawn side, whole sentences on the other.
+
+    ``ranges`` has a row per range (id, pos, paper_id, sid, side, s, e); a highlight may run over
+    several sentences and name one twice. Own parts are joined in order, source ones by a
+    space; on the other side each sentence stands once, in the order of its first range.
+    ``sid`` is the first range's. A highlight's ranges are bounded by its paper.
+    """
+    h = ranges.join(sentences.select(*SENT, "text"), SENT, "left").join(translations.select(*SENT, "t"), SENT, "left")
     own = F.when(F.col("side") == "src", F.col("text")).otherwise(F.col("t"))
     cut = F.coalesce(F.substr(own, (F.col("s") + 1).cast("int"), (F.col("e") - F.col("s")).cast("int")), F.lit(""))
-    return h.select(
-        "id", *SENT, "side",
-        F.when(F.col("side") == "src", cut).otherwise(F.coalesce("text", F.lit(""))).alias("source_text"),
-        F.when(F.col("side") == "tgt", cut).otherwise(F.coalesce("t", F.lit(""))).alias("target_text"),
+    other = F.coalesce(F.when(F.col("side") == "src", F.col("t")).otherwise(F.col("text")), F.lit(""))
+    parts = F.sort_array(F.collect_list(F.struct("pos", "sid", cut.alias("own"), other.alias("other"))))
+    g = h.groupBy("id", "paper_id", "side").agg(parts.alias("p"))
+    # A sentence's text is the same in all its ranges, so distinct pairs are distinct sentences.
+    whole = F.array_distinct(F.transform("p", lambda x: F.struct(x.sid, x.other)))
+    own_text = lambda sep: F.array_join(F.transform("p", lambda x: x.own), sep)
+    other_text = lambda sep: F.array_join(F.transform(whole, lambda x: x.other), sep)
+    src = F.col("side") == "src"
+    return g.select(
+        "id", "paper_id", F.get("p", F.lit(0)).sid.alias("sid"), "side",
+        F.when(src, own_text(" ")).otherwise(other_text(" ")).alias("source_text"),
+        F.when(src, other_text("")).otherwise(own_text("")).alias("target_text"),
     )
 
 

@@ -67,29 +67,40 @@ def tombstone(records: DataFrame, doomed: DataFrame, now: Column) -> DataFrame:
 # -------------------------------------------------------- machine output ----
 
 
-def merge_bundles(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """Merge sentence-keyed machine output under epochs.
-
-    Both sides are rows (paper_id, epoch, sid, t, mock). A lower remote epoch leaves ours
-    alone, a higher one replaces everything, an equal one fills what is missing or mock.
-    Result (paper_id, sid, t, origin, push_back).
+def merge_outputs(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """Merge all machine output of papers under epochs: translations, categories and finished pages.
+
+    Both sides are rows (paper_id, epoch, layer, key, value, mock) with layer ``t``, ``c`` or
+    ``p``; a null key only states an epoch. A lower remote epoch leaves ours alone, a higher
+    one replaces everything, even by nothing; an equal one fills what is missing, and
+    translations that are empty or mock. Result (paper_id, layer, key, value, origin,
+    push_back); a paper is pushed back if the remote's epoch is lower or lacks real output of ours.
     """
     le = local.groupBy("paper_id").agg(F.max("epoch").alias("le"))
     re = remote.groupBy("paper_id").agg(F.max("epoch").alias("re"))
     ep = le.join(re, "paper_id", "full").select(
         "paper_id", F.coalesce("le", F.lit(0)).alias("le"), F.coalesce("re", F.lit(-1)).alias("re")
     )
-    a = local.select("paper_id", "sid", F.col("t").alias("lt"), F.col("mock").alias("lmock"))
-    b = remote.select("paper_id", "sid", F.col("t").alias("rt"))
-    j = a.join(b, ["paper_id", "sid"], "full").join(ep, "paper_id")
-    kept = F.col("lt").isNotNull() & (F.col("lt") != "") & ~F.coalesce("lmock", F.lit(False))
-    use_local = (F.col("le") > F.col("re")) | ((F.col("le") == F.col("re")) & (kept | F.col("rt").isNull()))
-    merged = j.withColumn("t", F.when(use_local, F.col("lt")).otherwise(F.col("rt"))).withColumn(
+    cell = ["paper_id", "layer", "key"]
+    a = local.where("key is not null").select(*cell, F.col("value").alias("lv"), F.col("mock").alias("lmock"))
+    b = remote.where("key is not null").select(*cell, F.col("value").alias("rv"))
+    j = a.join(b, cell, "full").join(ep, "paper_id")
+    poor = (F.col("layer") == "t") & ((F.col("lv") == "") | F.coalesce("lmock", F.lit(False)))
+    kept = F.col("lv").isNotNull() & ~poor
+    use_local = (F.col("le") > F.col("re")) | ((F.col("le") == F.col("re")) & (kept | F.col("rv").isNull()))
+    merged = j.withColumn("value", F.when(use_local, F.col("lv")).otherwise(F.col("rv"))).withColumn(
         "origin", F.when(use_local, "local").otherwise("remote")
     )
-    unknown = (F.col("le") > F.col("re")) | ((F.col("le") == F.col("re")) & kept & F.col("rt").isNull())
+    unknown = (F.col("le") > F.col("re")) | ((F.col("le") == F.col("re")) & kept & F.col("rv").isNull())
     flags = merged.groupBy("paper_id").agg(F.max(unknown).alias("push_back"))
-    return merged.where("t is not null").select("paper_id", "sid", "t", "origin").join(flags, "paper_id")
+    return merged.where("value is not null").select(*cell, "value", "origin").join(flags, "paper_id")
+
+
+def merge_bundles(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """``merge_outputs`` of translations alone: rows (paper_id, epoch, sid, t, mock) to (paper_id, sid, t, origin, push_back)."""
+    as_layer = lambda d: d.select("paper_id", "epoch", F.lit("t").alias("layer"), F.col("sid").alias("key"), F.col("t").alias("value"), "mock")
+    merged = merge_outputs(as_layer(local), as_layer(remote))
+    return merged.select("paper_id", F.col("key").alias("sid"), F.col("value").alias("t"), "origin", "push_back")
 
 
 def build_bundles(translations: DataFrame, picks: DataFrame, page_status: DataFrame, epochs: DataFrame) -> DataFrame:

@@ -137,18 +137,18 @@ def w11(v: Views):
     return A.coalesce_ranges(seg, "sel")
 
 
-_MIRROR = """m as (select a.*, s.text, t.t, case side when 'src' then s.text else t.t end own from annotations_v a
-   left join sentences_v s using (paper_id, sid) left join translations_v t using (paper_id, sid) where not deleted)"""
+#: Highlights over their ranges, in DuckDB: own parts in order, other sentences once.
+MIRROR_SQL = """mr as (select a.*, coalesce(substr(case side when 'src' then s.text else t.t end, a.s+1, a.e-a.s), '') part, coalesce(case side when 'src' then t.t else s.text end, '') other,
+     row_number() over (partition by a.id, a.sid order by pos) nth from ranges_v a left join sentences_v s using (paper_id, sid) left join translations_v t using (paper_id, sid) where not deleted),
+   mirrored as (select id, paper_id, side, arg_min(sid, pos) sid, case side when 'src' then string_agg(part, ' ' order by pos) else string_agg(part, '' order by pos) end own, case side when 'src' then string_agg(other, '' order by pos) filter (nth=1) else string_agg(other, ' ' order by pos) filter (nth=1) end other from mr group by id, paper_id, side)"""
 
 
 @query(
     "J7_side_mirroring",
-    f"""with {_MIRROR} select id, paper_id, sid, side,
-     case side when 'src' then coalesce(substr(own, s+1, e-s), '') else coalesce(text, '') end source_text,
-     case side when 'tgt' then coalesce(substr(own, s+1, e-s), '') else coalesce(t, '') end target_text from m""",
+    f"""with {MIRROR_SQL} select id, paper_id, sid, side, case side when 'src' then own else other end source_text, case side when 'tgt' then own else other end target_text from mirrored""",
 )
 def j7(v: Views):
-    return A.mirrored(A.live(v.annotations), v.sentences, v.translations)
+    return A.mirrored(A.live(v.ranges), v.sentences, v.translations)
 
 
 @query(

@@ -61,6 +61,21 @@ def m4(v: Views):
     return R.merge_bundles(b.where(LOCAL), b.where(REMOTE))
 
 
+@query(
+    "M4_merge_of_all_output",
+    """with lo as (select * from outputs_v where origin='local'), re as (select * from outputs_v where origin='remote'),
+       ep as (select coalesce(a.paper_id, b.paper_id) paper_id, coalesce(le, 0) le, coalesce(re, -1) re from (select paper_id, max(epoch) le from lo group by 1) a full join (select paper_id, max(epoch) re from re group by 1) b on a.paper_id=b.paper_id),
+       ours as (select lo.*, le, re, "value" is not null and (layer<>'t' or ("value"<>'' and not mock)) kept from lo join ep using (paper_id)),
+       theirs as (select re.*, le, ep.re from re join ep using (paper_id)),
+       m as (select paper_id, layer, "key", "value", 'local' origin from ours where le>re or (le=re and (kept or not exists (select 1 from theirs t where t.paper_id=ours.paper_id and t.layer=ours.layer and t."key"=ours."key")))
+             union all select paper_id, layer, "key", "value", 'remote' from theirs where re>le or (le=re and not exists (select 1 from ours o where kept and o.paper_id=theirs.paper_id and o.layer=theirs.layer and o."key"=theirs."key"))),
+       f as (select paper_id from ep where le>re union select paper_id from ours where le=re and kept and not exists (select 1 from theirs t where t.paper_id=ours.paper_id and t.layer=ours.layer and t."key"=ours."key"))
+       select m.*, paper_id in (select paper_id from f) push_back from m where "value" is not null""",
+)
+def m4_all(v: Views):
+    return R.merge_outputs(v.outputs.where(LOCAL), v.outputs.where(REMOTE))
+
+
 @query(
     "M5_epoch_reset",
     """select coalesce(e.paper_id, b.paper_id) paper_id, case when coalesce(e.paper_id, b.paper_id)%5=0 then 99 else e.epoch end epoch, coalesce(n, 0) n
@@ -295,3 +310,16 @@ def s10(v: Views):
         one = back.agg(F.lit(name).alias("tbl"), F.count("*").alias("n"), F.count_distinct("id").alias("keys"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query(
+    "S10_restore_over_rows",
+    """select id, title, journal, n_authors, yr, doi, rating from papers_v union all select -1-id, title||' (new)', journal, n_authors, yr, doi, rating from papers_v""",
+)
+def s10_over(v: Views):
+    # Since the backup a third of the papers were lost, a third renamed, and as many came in.
+    papers = v.papers.select("id", "title", "journal", "n_authors", "yr", "doi", "rating")
+    dump = B.dump_tables({"papers": papers})
+    since = papers.where("id % 3 <> 0").withColumn("title", F.when(F.col("id") % 3 == 1, "renamed").otherwise(F.col("title")))
+    added = papers.withColumn("id", -1 - F.col("id")).withColumn("title", F.concat("title", F.lit(" (new)")))
+    return B.restore_table(dump, "papers", papers.schema, ["id"], since.unionByName(added))
