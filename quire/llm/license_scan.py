@@ -1,12 +1,17 @@
-"""License scan: a positional index of rare licence words, votes on relative position, key phrases.
+"""License scan: a positional index of licence words, intersected by relative position, rarest words first.
 
-Every phrase and notice below is a template, a list of words. The corpus is read once to
-count in how many documents each licence word stands (one row per word and task is
-shuffled; the table is bounded by the templates' vocabulary, never by the corpus). The
-highest-IDF words of a template form its postings ``word -> (template, offset)``. In a
-file, the positions of these words minus their offsets are candidate places of the
-template; a place is accepted if the template's mandatory phrase stands at its very
-position and enough of the other words stand in order after their neighbours.
+Every phrase and notice below is a template, a list of words, and all its words are
+postings ``word -> (template, offset)``. The corpus is read once to count in how many
+documents each licence word stands (one row per word and task is shuffled; the table is
+bounded by the templates' vocabulary, never by the corpus), which gives their IDF.
+
+In a file, a notice is a candidate if all words of its mandatory phrase and half its words
+occur at all. The file's own words of that notice are looked up by falling IDF, a few at a
+time. A word's positions less its offsets are places where the notice may begin;
+they are intersected: a place stands if two different words agree on it, within the slack.
+There the mandatory phrase is verified word for word, and half of the notice's words must
+stand in place. The next words are looked up only while no place is verified, so frequent words
+are seldom touched and no notice is missed. Its score is the IDF-weighted share of its words at the best place found.
 
 Base phrases are found completely: their rarest word is a posting, and each of its
 positions is verified word for word.
@@ -56,8 +61,10 @@ NOTICES = {
     "unlicense": ("this is free and unencumbered software released into the public domain", "free and unencumbered software"),
     "zlib": ("this software is provided as is without any express or implied warranty", "provided as is without any express or implied warranty"),
 }
-#: So many of a notice's rarest words are looked up, and so large a part of its words must stand in place.
+#: So many of a file's rarest words are looked up at a time, and so large a part of a notice's words must stand in place.
 RARE_WORDS, MIN_SHARE = 4, 0.5
+#: So many different words must agree on a place.
+VOTES = 2
 #: A word may stand this many places off its own because of words put in or left out.
 SLACK = 2
 
@@ -91,49 +98,85 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "word string, n_docs long").groupBy("word").agg(F.sum("n_docs").alias("n_docs"))
 
 
+def idf_of(counts: dict[bytes, int]) -> dict[bytes, float]:
+    """IDF of the licence words, above zero for a word of every document; ``b""`` counts the documents."""
+    return {w: math.log1p((1 + counts.get(b"", 0)) / (1 + counts.get(w, 0))) for w in vocabulary()}
+
+
+def agreed(starts: list[tuple[int, bytes]]) -> list[int]:
+    """Of possible starts, by looked-up word, those that ``VOTES`` different words agree on within twice the slack."""
+    starts = sorted(starts)
+    out: list[int] = []
+    inside: dict[bytes, int] = defaultdict(int)
+    lo = hi = 0
+    for s, _ in starts:
+        while hi < len(starts) and starts[hi][0] <= s + 2 * SLACK:
+            inside[starts[hi][1]] += 1
+            hi += 1
+        while starts[lo][0] < s - 2 * SLACK:
+            inside[starts[lo][1]] -= 1
+            if not inside[starts[lo][1]]:
+                del inside[starts[lo][1]]
+            lo += 1
+        if len(inside) >= VOTES and (not out or out[-1] != s):
+            out.append(s)
+    return out
+
+
 def make_matcher(idf: dict[bytes, float]) -> Callable[[list[bytes]], tuple[list[tuple[int, str]], dict[str, float]]]:
-    """A function from words to the base places ``(start, label)`` and the share found of each notice."""
-    rarest = lambda words: sorted(range(len(words)), key=lambda i: (-idf.get(words[i], 0.0), i))
+    """A function from words to the base places ``(start, label)`` and the score of each notice found."""
+    rank = lambda w: (-idf.get(w, 0.0), w)
     base: dict[bytes, list[tuple[int, list[bytes], str]]] = defaultdict(list)
     for phrase, label in BASE.items():
         ws = phrase.encode().split()
-        i = rarest(ws)[0]
+        i = min(range(len(ws)), key=lambda i: rank(ws[i]))
         base[ws[i]].append((i, ws, label))
-    postings: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
+    postings: dict[bytes, dict[str, list[int]]] = defaultdict(lambda: defaultdict(list))
     notices = {}
     for label, (notice, key) in NOTICES.items():
         ws, ks = notice.encode().split(), key.encode().split()
         at = next(i for i in range(len(ws)) if ws[i : i + len(ks)] == ks)
-        notices[label] = (ws, ks, at)
-        # The phrase's rarest word is always looked up, so no verified phrase is missed.
-        for i in dict.fromkeys([at + rarest(ks)[0], *rarest(ws)[:RARE_WORDS]]):
-            postings[ws[i]].append((label, i))
-    wanted = frozenset([*base, *postings])
+        notices[label] = (ws, ks, at, frozenset(ks))
+        for i, w in enumerate(ws):
+            postings[w][label].append(i)
+    known = frozenset([*base, *postings])
+
+    def verified(label: str, words: list[bytes], start: int) -> float:
+        """Best score of the notice with its mandatory phrase within the slack of ``start``; 0 if there is none."""
+        ws, ks, k, _ = notices[label]
+        best = 0.0
+        for o in range(start - SLACK, start + SLACK + 1):
+            if o + k >= 0 and words[o + k : o + k + len(ks)] == ks:
+                met = [w for i, w in enumerate(ws) if w in words[max(0, o + i - SLACK) : max(0, o + i + SLACK + 1)]]
+                if len(met) >= MIN_SHARE * len(ws):
+                    best = max(best, sum(idf[w] for w in met) / sum(idf[w] for w in ws))
+        return best
 
     def match(words: list[bytes]):
-        places: list[tuple[int, str]] = []
-        shares: dict[str, float] = {}
-        if wanted.isdisjoint(words):
-            return places, shares
-        starts: dict[str, set[int]] = defaultdict(set)
-        for p, w in enumerate(words):
+        present = known.intersection(words)
+        candidates = [n for n, (ws, _, _, key) in notices.items() if key <= present and sum(w in present for w in ws) >= MIN_SHARE * len(ws)]
+        wanted = {w for w in present if w in base or any(n in postings[w] for n in candidates)}
+        at: dict[bytes, list[int]] = defaultdict(list)
+        for p, w in enumerate(words) if wanted else ():
             if w in wanted:
-                for i, ws, label in base.get(w, ()):
-                    if p >= i and words[p - i : p - i + len(ws)] == ws:
-                        places.append((p - i, label))
-                for label, i in postings.get(w, ()):
-                    starts[label].add(p - i)
-        for label, at in starts.items():
-            ws, ks, k = notices[label]
-            for s in at:
-                # The key phrase stands exactly where this start puts it, or within the slack.
-                for d in range(-SLACK, SLACK + 1):
-                    if s + k + d >= 0 and words[s + k + d : s + k + d + len(ks)] == ks:
-                        near = lambda i, o=s + d: ws[i] in words[max(0, o + i - SLACK) : o + i + SLACK + 1]
-                        share = sum(map(near, range(len(ws)))) / len(ws)
-                        if share >= MIN_SHARE:
-                            shares[label] = max(share, shares.get(label, 0.0))
-        return sorted(places), shares
+                at[w].append(p)
+        places = [(p - i, label) for w in wanted for i, ws, label in base.get(w, ()) for p in at[w] if p >= i and words[p - i : p - i + len(ws)] == ws]
+
+        scores: dict[str, float] = {}
+        ranked = sorted(wanted, key=rank)
+        for n in candidates:
+            own = [w for w in ranked if n in postings[w]]
+            starts: list[tuple[int, bytes]] = []
+            tried: set[int] = set()
+            for d in range(0, len(own), RARE_WORDS):
+                starts += [(p - i, w) for w in own[d : d + RARE_WORDS] for i in postings[w][n] for p in at[w]]
+                fresh = [s for s in agreed(starts) if s not in tried]
+                tried.update(fresh)
+                best = max((verified(n, words, s) for s in fresh), default=0.0)
+                if best:
+                    scores[n] = best
+                    break
+        return sorted(places), scores
 
     return match
 
@@ -146,10 +189,9 @@ FIELDS = [
 
 
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with its number of words, base places, labels and the best share of a notice (1 for a base phrase)."""
+    """``docs`` with its number of words, base places, labels and the best score of a notice (1 for a base phrase)."""
     counts = {r["word"].encode(): r["n_docs"] for r in document_frequencies(docs, text).collect()}  # at most the vocabulary
-    total = counts.get(b"", 0)
-    idf = {w: math.log((1 + total) / (1 + counts.get(w, 0))) for w in vocabulary()}
+    idf = idf_of(counts)
 
     def make():
         match = make_matcher(idf)

@@ -101,6 +101,77 @@ def test_base_phrase_beside_a_frequent_word(docs_of):
     assert all((rows[i].n_words, rows[i].n_base) == (brute_licenses(t)[0], len(brute_licenses(t)[1])) for i, t in enumerate(texts))
 
 
+def brute_notices(words):
+    """Notices whose key phrase stands somewhere with half of the notice's words in place."""
+    found = set()
+    slack = license_scan.SLACK
+    for label, (notice, key) in license_scan.NOTICES.items():
+        ws, ks = notice.encode().split(), key.encode().split()
+        k = next(i for i in range(len(ws)) if ws[i : i + len(ks)] == ks)
+        for p in range(len(words)):
+            if words[p : p + len(ks)] == ks:
+                o = p - k
+                met = sum(w in words[max(0, o + i - slack) : max(0, o + i + slack + 1)] for i, w in enumerate(ws))
+                if met >= license_scan.MIN_SHARE * len(ws):
+                    found.add(label)
+    return found
+
+
+def test_notices_equal_brute_force():
+    import random
+
+    rng = random.Random(7)
+    vocabulary = license_scan.vocabulary()
+    texts = []
+    for _ in range(1500):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(30))]
+        for _ in range(rng.randrange(1, 4)):
+            notice, key = rng.choice(list(license_scan.NOTICES.values()))
+            ws = notice.encode().split()
+            lost = rng.choice([0, 0, 0.1, 0.3, 0.6])
+            words += [w for w in ws if rng.random() >= lost or w in key.encode().split()] + [rng.choice(vocabulary + [b"x"]) for _ in range(rng.randrange(8))]
+        texts.append(words)
+    # Whatever the corpus says about the words, no notice is missed and none is made up.
+    for seed in range(3):
+        rng = random.Random(seed)
+        counts = {w: rng.randrange(1000) for w in vocabulary} | {b"": 1000}
+        match = license_scan.make_matcher(license_scan.idf_of(counts))
+        n = 0
+        for words in texts:
+            _, scores = match(words)
+            assert set(scores) == brute_notices(words), words
+            assert all(0 < x <= 1 for x in scores.values())
+            n += len(scores)
+        assert n > 1000
+
+
+def test_the_corpus_weighs_words():
+    """Half a notice counts more where its words are rare."""
+    common = license_scan.make_matcher(license_scan.idf_of({b"": 1000, b"mit": 900, b"license": 900, b"released": 900}))
+    rare = license_scan.make_matcher(license_scan.idf_of({b"": 1000, b"under": 900, b"the": 900}))
+    words = b"released under x mit license".split()
+    assert common(words)[1]["mit-short"] < 0.8 < rare(words)[1]["mit-short"]
+
+
+def test_places_need_two_words():
+    assert license_scan.agreed([(0, b"a"), (9, b"b"), (12, b"c"), (30, b"a"), (31, b"a")]) == [9, 12]
+    assert license_scan.agreed([(4, b"a"), (4, b"b"), (4, b"a")]) == [4]
+    assert license_scan.agreed([]) == []
+
+
+def test_a_long_run_of_licence_words_takes_linear_time():
+    import time
+
+    match = license_scan.make_matcher(license_scan.idf_of({b"": 10}))
+    took = []
+    for n in (20_000, 80_000):
+        words = b"the license mit under released".split() * (n // 5)
+        start = time.perf_counter()
+        match(words)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 12 * took[0]
+
+
 @pytest.mark.parametrize("rule", attribution.RULES)
 def test_tokens_by_line(docs_of, odd_docs, no_docs, rule):
     texts = ["a b\nc d", "\n\nx\n", "naïve 東京 text\nmore 東京\n", "one line", "", "    \n   indented\n\n\n  x"]
