@@ -31,6 +31,9 @@ read by the search and are kept by the filter.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +43,8 @@ WINDOW = 8
 COVERAGE = 0.3
 #: Slots of the gate that windows must pass before they are hashed.
 GATE = 1 << 16
-#: A window is looked at by one pair of neighbours, at a multiple of this.
-STRIDE = 4
+#: A window is looked at by the words at a multiple of this.
+STRIDE = 5
 # Units that follow a number, longest first.
 UNITS = (
     "percent", "dollars", "dollar", "euros", "euro", "pounds", "pound", "cents", "cent", "hours", "hour", "minutes", "minute", "seconds",
@@ -74,23 +77,26 @@ def is_slot(word: Column, types: str = TEMPLATES[-1]) -> Column:
 
 
 def _bound(words: Column, body, gate: bytes | None = None) -> Column:
-    """Arrays that ``body`` makes of the words, their marked ones and their hashes in every template, joined to one; each is worked out once."""
+    """Arrays that ``body`` makes of the words, their marked ones and all hashes in every template, joined to one; each is worked out once."""
     marked = lambda w: F.startswith(w, F.lit(MARK))
 
-    # Per word its hash in a template: the value's, or that of the slot's type (a capital's is a name's).
-    def hashes(w: Column, types: str) -> Column:
-        def hashed(x: Column) -> Column:
-            kind = F.substring(x, 2, 1)
-            slot = F.xxhash64(F.concat(F.lit(MARK), F.when(kind == "c", "a").otherwise(kind)))
-            return F.when(~marked(x), F.xxhash64(x)).when(kind.isin(*types), slot).otherwise(F.xxhash64(F.substring(x, 3, 1 << 30)))
-
-        return F.transform(w, hashed)
+    # A marked word's hash in a template: the value's, or that of the slot's type (a capital's is a name's).
+    def in_template(x: Column, types: str) -> Column:
+        kind = F.substring(x, 2, 1)
+        slot = F.xxhash64(F.concat(F.lit(MARK), F.when(kind == "c", "a").otherwise(kind)))
+        return F.when(kind.isin(*types), slot).otherwise(F.xxhash64(F.substring(x, 3, 1 << 30)))
 
+    # The gate is bound here too, so that it stands in the plan once.
     def row(w: Column) -> Column:
-        # The gate is bound here too, so that it stands in the plan once.
-        return F.struct(F.lit(bytearray(gate or b"")).alias("gate"), w.alias("words"), F.transform(w, lambda x: F.when(marked(x), x)).alias("slots"), *[hashes(w, types).alias(f"t{k}") for k, types in enumerate(TEMPLATES)])
+        slots = F.transform(w, lambda x: F.when(marked(x), x))
+        return F.struct(F.lit(bytearray(gate or b"")).alias("gate"), slots.alias("slots"), F.transform(w, lambda x: F.xxhash64(x)).alias("plain"))
+
+    # Only marked words are hashed again, as templates differ in nothing else.
+    def templates(d: Column) -> Column:
+        hashes = lambda types: F.zip_with(d.plain, d.slots, lambda h, x: F.when(x.isNull(), h).otherwise(in_template(x, types)))
+        return F.struct(d.gate.alias("gate"), d.slots.alias("slots"), *[hashes(types).alias(f"t{k}") for k, types in enumerate(TEMPLATES)])
 
-    return F.flatten(F.transform(F.transform(F.array(words), row), body))
+    return F.flatten(F.transform(F.transform(F.transform(F.array(words), row), templates), body))
 
 
 def _range(first: Column, last: Column, step: int = 1) -> Column:
@@ -106,7 +112,7 @@ def word_pairs(words: Column) -> Column:
     """Hashes of all pairs of neighbours in all templates; of the word, if it is alone."""
 
     def of(d: Column) -> Column:
-        n = F.size(d.words)
+        n = F.size(d.t0)
         pairs = [F.transform(_range(F.lit(0), n - 2), _pair_of(d, k)) for k in range(3)]
         return F.when(n == 1, F.array(*[_pair(d, k, F.lit(0), True) for k in range(3)])).otherwise(F.concat(*pairs))
 
@@ -131,20 +137,26 @@ def windows(words: Column, sizes: list[int], gate: bytes | None = None) -> Colum
 
     A window has one hash per template; ``v`` holds the marked words at their places and
     null elsewhere. With a ``gate`` only windows that may match are hashed: every window
-    holds a pair of neighbours at a multiple of the stride, and that pair must pass.
+    holds a pair of neighbours at a multiple of the stride, and that pair must pass. Windows
+    that hold the two words after that pair as well are asked for them too.
     """
     several = [s for s in sizes if s > 1]
-    stride = min(STRIDE, min(several, default=2) - 1)
+    # Sizes by stride and whether both pairs are inside for certain.
+    long = [s for s in several if s >= STRIDE + 3]
+    short = [s for s in several if s < STRIDE + 3]
+    groups = [(g, stride, deep) for g, stride, deep in ((short, min(STRIDE, min(short, default=2) - 1), False), (long, STRIDE, True)) if g]
 
     def cut(d: Column) -> Column:
-        n = F.size(d.words)
+        n = F.size(d.t0)
         passes = lambda x: F.substring(d.gate, F.pmod(x, F.lit(len(gate))).cast("int") + 1, 1) == F.lit(bytearray(b"\x01"))
 
-        def opened(i: Column, alone: bool) -> Column:
-            same = lambda k: F.get(d[f"t{k}"], i) == F.get(d.t0, i)
-            # Templates differ only where they differ in these words.
-            differs = lambda k: ~same(k) if alone else ~same(k) | (F.get(d[f"t{k}"], i + 1) != F.get(d.t0, i + 1))
-            return passes(_pair(d, 0, i, alone)) | (differs(1) & passes(_pair(d, 1, i, alone))) | (differs(2) & passes(_pair(d, 2, i, alone)))
+        def opened(i: Column, alone: bool = False, deep: bool = False) -> Column:
+            at = [i, i + 2] if deep else [i]
+            words = [i] if alone else [j for a in at for j in (a, a + 1)]
+            found = lambda k: reduce(and_, [passes(_pair(d, k, a, alone)) for a in at])
+            # Templates differ only in marked words.
+            marked = reduce(or_, [F.get(d.slots, j).isNotNull() for j in words])
+            return found(0) | (marked & (found(1) | found(2)))
 
         def of(size: int, at: Column) -> Column:
             # An array is hashed in one go: a pass over the slice.
@@ -153,15 +165,19 @@ def windows(words: Column, sizes: list[int], gate: bytes | None = None) -> Colum
                 i.alias("pos"), F.lit(size).alias("size"), F.array(*[F.xxhash64(part(i, f"t{k}")) for k in range(3)]).alias("h"), part(i, "slots").alias("v"),
             ))
 
-        alone = F.filter(_range(F.lit(0), n - 1), lambda i: opened(i, True)) if gate else _range(F.lit(0), n - 1)
-        parts = [of(1, alone)] if 1 in sizes else []
-        if several:
-            starts = _range(F.lit(0), n - min(several))
+        def of_group(group: list[int], stride: int, deep: bool) -> Column:
+            least = min(group)
+            starts = _range(F.lit(0), n - least)
             if gate:
-                anchors = F.filter(_range(F.lit(0), n - 2, stride), lambda i: opened(i, False))
-                starts = F.flatten(F.transform(anchors, lambda p: _range(F.greatest(p - stride + 1, F.lit(0)), F.least(p, n - min(several)))))
-            fits = lambda at, s: at if s == min(several) else F.filter(at, lambda i: i <= n - s)
-            parts.append(F.flatten(F.transform(F.array(starts), lambda at: F.concat(*[of(s, fits(at, s)) for s in several]))))
+                # With both pairs the anchor's four words must be there; a window that holds it has them.
+                anchors = F.filter(_range(F.lit(0), n - (4 if deep else 2), stride), lambda i: opened(i, deep=deep))
+                starts = F.flatten(F.transform(anchors, lambda p: _range(F.greatest(p - stride + 1, F.lit(0)), F.least(p, n - least))))
+            fits = lambda at, s: at if s == least else F.filter(at, lambda i: i <= n - s)
+            return F.flatten(F.transform(F.array(starts), lambda at: F.concat(*[of(s, fits(at, s)) for s in group])))
+
+        alone = F.filter(_range(F.lit(0), n - 1), lambda i: opened(i, alone=True)) if gate else _range(F.lit(0), n - 1)
+        parts = [of(1, alone)] if 1 in sizes else []
+        parts += [of_group(*g) for g in groups]
         return F.concat(*parts)
 
     return _bound(words, cut, gate)
