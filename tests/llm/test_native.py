@@ -184,3 +184,24 @@ def test_no_python_in_the_plan(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoop", plan)
+
+
+@pytest.mark.parametrize("sizes", [[1, 2, 3, 5, 7, 8], [7], [8], [4, 8]])
+def test_the_gate_loses_no_window(spark, sizes):
+    """Windows of all sizes that the benchmark has are the same with the gate and without."""
+    rng = random.Random(3)
+    words = ["tide", "Ebb", "in", "the", "12", "km", "Oslo", "slack,"]
+    some = lambda n: " ".join(rng.choices(words, k=rng.randrange(n)))
+    items = [some(25) for _ in range(12)]
+    frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    docs = frame([f"{some(12)} {rng.choice(items)} {some(12)}" for _ in range(100)])
+    items = frame(items)
+    items = items.select("id", decontaminate.template_words(F.col("text")).alias("words"))
+    docs = docs.select("id", decontaminate.template_words(F.col("text")).alias("words"))
+    gate = decontaminate.gate_of(items.select(F.explode(decontaminate.word_pairs(F.col("words"))).alias("x")))
+    gate_1 = decontaminate.gate_of(items.select(F.explode(F.transform("words", lambda w: F.array(w))).alias("w")).select(F.explode(decontaminate.word_pairs(F.col("w"))).alias("x")))
+    gate = bytes(a | b for a, b in zip(gate, gate_1, strict=True))
+    cut = lambda d, g: decontaminate._hashes(d.select("id", F.explode(decontaminate.windows(F.col("words"), sizes, g)).alias("w"))).select("id", "pos", "size", "h")
+    own = cut(items, None).select("size", "h").distinct()
+    met = [sorted(map(tuple, cut(docs, g).join(own, ["size", "h"], "left_semi").distinct().collect())) for g in (None, gate)]
+    assert met[0] == met[1] and len(met[0]) > 0
