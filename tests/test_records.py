@@ -1,6 +1,7 @@
 """Sources, sinks, replication and streaming on small data."""
 
 import time
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -273,3 +274,18 @@ def test_reference_faults(spark):
     got = {r.kind: tuple(r)[1:] for r in reference_faults(refs, s, "kind").collect()}
     assert got == {"x": (8, 2, 4, 4), "y": (1, 0, 1, 0)}
     assert reference_faults(refs.limit(0), s, "kind").count() == 0
+
+
+def test_a_title_without_a_rare_run_is_found(spark):
+    """No run of words leads to the most similar title, or better ones share none: every pair counts."""
+    many = spark.createDataFrame([(i, f"tidal gauges number {i} of harbour {i % 7}") for i in range(60)], "id long, title string")
+    asked = spark.createDataFrame([(1, "tidall gaugess numbers 777 off harbours 8"), (2, "gauges tidal number 60 of harbour 9"), (3, "x")], "id long, title string")
+
+    def dice(a, b):
+        x, y = (Counter(t[i : i + 2] for i in range(len(t) - 1)) for t in (a, b))
+        return 2.0 * (x & y).total() / (len(a) + len(b) - 2)
+
+    best = {q.id: max((dice(q.title, r.title), -r.id) for r in many.collect()) for q in asked.collect()}
+    want = {k: (-w, d) for k, (d, w) in best.items() if d >= 0.75}
+    assert set(want) == {1, 2}
+    assert {r.id: (r.work, r.dice) for r in K.best_titles(asked, many, 0.75).collect()} == want
