@@ -11,6 +11,7 @@ from quire.operators import linkage as K
 from quire.operators import model_apply as P
 from quire.operators import ordering as O
 from quire.operators import replication as R
+from quire.plans import load
 from quire.sources import backup as BK
 from quire.sources import records as N
 from quire.sources import replace_sets as RS
@@ -289,3 +290,8 @@ def test_a_title_without_a_rare_run_is_found(spark):
     want = {k: (-w, d) for k, (d, w) in best.items() if d >= 0.75}
     assert set(want) == {1, 2}
     assert {r.id: (r.work, r.dice) for r in K.best_titles(asked, many, 0.75).collect()} == want
+
+
+def test_cascade_never_passes_its_tables_through_the_driver(spark):
+    plan = load()[0]["J1_linkage_cascade"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
