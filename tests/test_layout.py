@@ -1,10 +1,14 @@
 """Literal cases for layout, geometry and block operators."""
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import blocks as B
 from quire.operators import geometry as G
 from quire.operators import layout as Y
+from quire.plans import load
 
 ITEM = "paper_id int, page int, ix int, str string, x double, y double, w double, h double, base double, fs double, font string"
 
@@ -146,3 +150,19 @@ def test_refit_only_touches_pages_that_miss(spark):
     fine = ink.withColumn("a", F.lit(50.0)).withColumn("b", F.lit(150.0))
     out, _ = G.refit(p, fine, bl)
     assert {r.fitted for r in out.collect()} == {False}
+
+
+@pytest.mark.parametrize("name", ["L17_range_rectangles", "L16_piece_geometry", "L16_partial_runs", "L6_line_position_label"])
+def test_pieces_are_neither_sorted_nor_joined(spark, name):
+    """Characters and pieces are array elements of their sentence's row."""
+    plan = load()[0][name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and not re.search(r"Join .*\b(item|ix|pk)#", plan)
+
+
+def test_runs_of_a_row_equal_runs_of_rows(spark):
+    chars = [(0, 3), (0, 4), (-1, -1), (2, 0), (3, 0), (3, 1), (3, 3), (-1, -1)]
+    rows = spark.createDataFrame([(1, 0, p, i, k) for p, (i, k) in enumerate(chars)], "paper_id int, page int, pos int, item long, k int")
+    want = sorted((r.s, r.e, r.item, r.k0, r.k1) for r in Y.char_runs(rows, "paper_id").collect())
+    code = F.when(F.col("item") >= 0, Y.char_code(F.col("item"), F.col("k"))).otherwise(-2)
+    row = rows.groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", code.alias("c")))), lambda x: x.c).alias("a"))
+    assert [tuple(r) for r in row.select(F.inline(Y.runs_in(F.col("a")))).collect()] == want
