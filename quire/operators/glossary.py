@@ -84,6 +84,12 @@ def meetings(terms: DataFrame, batches: DataFrame, *key: str) -> DataFrame:
     return grams.join(rarest, [*owner, "gram"]).select(*key, "term", "variant")
 
 
+def glossaries(terms: DataFrame, *owner: str) -> DataFrame:
+    """(owner..., spellings): an owner's glossary as one array of (term, variant)."""
+    pair = F.struct("term", "variant")
+    return _spellings(terms).groupBy(*owner).agg(F.collect_set(pair).alias("spellings"))
+
+
 def relevant_terms(terms: DataFrame, batches: DataFrame, *key: str) -> DataFrame:
     """Terms with a spelling contained in the batch text: rows (key..., term).
 
@@ -91,11 +97,20 @@ def relevant_terms(terms: DataFrame, batches: DataFrame, *key: str) -> DataFrame
     glossary); with none of them, one glossary serves all batches. ``key`` names a batch and
     is not null; a batch without text holds nothing.
 
-    A spelling contained in a text brings all its character pairs with it, so it meets only
-    the batches that hold the rarest of them: pairs are counted over the owner's batches, a
-    spelling with a pair that none of these holds goes, and the text itself is read for the
+    An owner's glossary is one array (``terms`` may come as ``glossaries``) and each of its batches
+    is read for it in place: rows are made of what is found, not of what is looked for.
+
+    A shared glossary may be large. A spelling contained in a text brings all its character
+    pairs with it, so it meets only the batches that hold the rarest of them; a spelling with
+    a pair that none of these holds goes, and the text itself is read for the
     batches that remain. The rarest pair bounds the candidates, however common the others are.
     """
     low = batches.select(*key, F.lower("text").alias("low"))
-    near = meetings(terms, batches, *key).join(low, list(key))
-    return near.where(F.contains("low", "variant")).select(*key, "term").distinct()
+    owner = [c for c in key if c in terms.columns]
+    if not owner:
+        near = meetings(terms, batches, *key).join(low, list(key))
+        return near.where(F.contains("low", "variant")).select(*key, "term").distinct()
+    own = terms if "spellings" in terms.columns else glossaries(terms, *owner)
+    found = F.transform(F.filter("spellings", lambda s: F.contains("low", s.variant)), lambda s: s.term)
+    j = low.join(own.select(*owner, "spellings"), owner)
+    return j.select(*key, F.explode_outer(F.array_distinct(found)).alias("term")).where("term is not null").distinct()

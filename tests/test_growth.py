@@ -16,3 +16,16 @@ def test_a_run_matrix_is_not_made_again_per_element(spark):
     """Elements of a made matrix are read as what they are, so the filter builds no array per element."""
     filters = [x for x in optimized(QUERIES["S1_normalise_runs"](spark, SF)).splitlines() if "Filter" in x]
     assert filters and not any("array(" in x for x in filters)
+
+
+def test_an_own_glossary_is_read_in_place(spark):
+    """No row per spelling or character pair; what is found is the only thing made into rows."""
+    from quire.operators.glossary import glossaries, relevant_terms
+
+    terms = spark.range(50).selectExpr("id % 5 paper_id", "concat('tide', id, ' (ebb', id, ')') term")
+    batches = spark.range(40).selectExpr("id % 5 paper_id", "id page", "concat('the tide', id, ' and EBB', id + 5) text")
+    got = relevant_terms(glossaries(terms, "paper_id"), batches, "paper_id", "page")
+    text = {p: f"the tide{p} and ebb{p + 5}" for p in range(40)}
+    want = {(p % 5, p, f"tide{i} (ebb{i})") for p in text for i in range(50) if i % 5 == p % 5 and (f"tide{i}" in text[p] or f"ebb{i}" in text[p])}
+    assert {tuple(r) for r in got.collect()} == want
+    assert "gram" not in optimized(relevant_terms(terms, batches, "paper_id", "page"))
