@@ -29,3 +29,21 @@ def test_an_own_glossary_is_read_in_place(spark):
     want = {(p % 5, p, f"tide{i} (ebb{i})") for p in text for i in range(50) if i % 5 == p % 5 and (f"tide{i}" in text[p] or f"ebb{i}" in text[p])}
     assert {tuple(r) for r in got.collect()} == want
     assert "gram" not in optimized(relevant_terms(terms, batches, "paper_id", "page"))
+
+
+def test_drop_caps_are_mended_within_the_page(spark):
+    """L1: a page's runs are one array, so they are neither joined nor sorted, and pages and rows give the same runs."""
+    from pyspark.sql import functions as F
+
+    from quire.fixtures import Views
+    from quire.operators import layout as Y
+    from quire.plans.layout import drop_cap_pages
+
+    assert "Join" not in optimized(QUERIES["L1_drop_cap_repair"](spark, SF))
+    pages = drop_cap_pages(Views(spark, SF))
+    rows = pages.select("paper_id", "page", F.explode("r").alias("r")).select("paper_id", "page", "r.*")
+    want = Y.fix_drop_caps(pages).select("paper_id", "page", F.explode("r").alias("r")).select("paper_id", "page", "r.*")
+    got = Y.fix_drop_caps(rows)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    changed = want.join(rows.withColumnRenamed("str", "was"), ["paper_id", "page", "ix"]).where("str <> was")
+    assert changed.count() > 0
