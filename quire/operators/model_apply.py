@@ -46,7 +46,8 @@ def accepted(answers: DataFrame, requested: DataFrame, language: Column, last_tr
     """Cleaned answers to what was asked; a copy of the source only counts on a last try."""
     key = ["paper_id", "sid"]
     j = answers.join(requested.select(*key, F.col("text").alias("source")), key)
-    j = j.withColumn("t", clean_translation(F.col("source"), F.col("text"), language)).where("t <> ''")
+    # The cleaned text is made by a generator: as a plain column it would be made again for every filter on it.
+    j = j.select(*key, "source", F.explode_outer(F.array(clean_translation(F.col("source"), F.col("text"), language))).alias("t")).where("t <> ''")
     if not last_try:
         j = j.where(~is_untranslated_echo(F.col("source"), F.col("t"), language))
     # Of several answers to one sentence the last one counts; their order is not kept by the source.

@@ -52,3 +52,17 @@ def test_drop_caps_are_mended_within_the_page(spark):
 def test_an_index_is_made_within_its_paper(spark):
     """Words are neither grouped nor collected over rows."""
     assert "Aggregate" not in optimized(QUERIES["T14_inverted_index_abstract"](spark, SF))
+
+
+def test_an_answer_is_cleaned_once(spark):
+    """The cleaning of an answer stands once in the plan, not in each filter on its result."""
+    from pyspark.sql import functions as F
+
+    from quire.operators.model_apply import accepted
+
+    rows = spark.createDataFrame([(1, "1.1", "Tides rise in the harbour."), (1, "1.2", "ﬁne Tides")], "paper_id int, sid string, text string")
+    # The answers: an echo with its translation, and an echo that ends in a ligature.
+    answers = rows.withColumn("text", F.concat("text", F.lit(" 潮汐。")))
+    got = accepted(answers, rows, F.lit("中文"), False)
+    assert optimized(got).count("regexp_instr(") == 1
+    assert {r.sid: r.t for r in got.collect()} == {"1.1": "潮汐。", "1.2": "潮汐。"}
