@@ -40,7 +40,7 @@ def line_blocks(v: Views):
     """Lines as blocks with a plain geometry."""
     row = F.col("line_no") % 52
     return v.lines.select(
-        "paper_id", "source", "line_no", "text", F.col("line_no").cast("double").alias("n"),
+        "paper_id", "source", "lang", "line_no", "text", F.col("line_no").cast("double").alias("n"),
         (1 + F.floor(F.length("text") / 100)).alias("n_lines"), F.lit(54.0).alias("x0"), (72.0 + 12.0 * row).alias("y0"),
         (54.0 + F.least(5.0 * F.length("text"), F.lit(500.0))).alias("x1"), (82.0 + 12.0 * row).alias("y1"),
         F.when(F.col("line_no") == 0, 14.0).when((F.col("paper_id") % 7 == 0) & (F.col("line_no") % 9 == 8), 8.0).otherwise(10.0).alias("fs"),
@@ -73,9 +73,8 @@ def source_pages(v: Views):
 
     Every third page shows its number in front of its first line.
     """
-    last = v.lines.groupBy("paper_id").agg(F.max("line_no").alias("last_line"))
     page = F.floor(F.col("doc") / 20)
-    b = v.lines.withColumnRenamed("paper_id", "doc").join(last.withColumnRenamed("paper_id", "doc"), "doc")
+    b = v.lines_to_last.withColumnRenamed("paper_id", "doc")
     text = F.when((F.col("line_no") == 0) & (F.col("doc") % 3 == 0), F.concat((100 + page).cast("string"), F.lit(" "), F.substring_index("text", " ", 3))).otherwise(F.col("text"))
     return b.select(
         "doc", F.col("source").alias("paper_id"), page.alias("page"), F.col("line_no").alias("n"), text.alias("text"),

@@ -19,13 +19,16 @@ from quire.plans.text import SEGMENT_SQL
 
 def clean_sentences(v: Views) -> DataFrame:
     """(source, lang, doc_id, n, sentence) of kept lines only."""
-    kinds = B.classify(line_blocks(v)).where("kind <> 'skip'").select("paper_id", "source", "line_no", "text")
-    edges = B.running_headers(source_pages(v), page_totals(v)).where("running")
+    v = v.by_paper
+    # The kind is made by a generator: as a plain column it would be made in the filter, where no part of it is shared.
+    kinds = B.classify(line_blocks(v)).select("paper_id", "source", "lang", "line_no", "text", F.explode_outer(F.array("kind")).alias("kind"))
+    kinds = kinds.where("kind <> 'skip'").drop("kind")
+    # Only a line at the edge of its page can be a running one, so no other line is moved.
+    edges = B.running_headers(source_pages(v).where("edge"), page_totals(v)).where("running")
     repeated = edges.select(F.col("doc").alias("paper_id"), F.col("n").alias("line_no"))
     kept = kinds.join(repeated, ["paper_id", "line_no"], "left_anti")
-    texts = B.block_texts(kept, "paper_id", "source")
-    lang = v.documents.select(F.col("doc_id").alias("paper_id"), "lang")
-    return segment_table(texts.join(lang, "paper_id"), "text", "source", "lang", "paper_id")
+    texts = B.block_texts(kept, "paper_id", "source", "lang")
+    return segment_table(texts, "text", "source", "lang", "paper_id")
 
 
 def clean_sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
