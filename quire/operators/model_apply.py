@@ -42,45 +42,56 @@ def call_batches(requests: DataFrame, caller: Caller) -> DataFrame:
     return g.mapInArrow(run, f"paper_id {dict(requests.dtypes)['paper_id']}, value string")
 
 
-def accepted(answers: DataFrame, requested: DataFrame, language: Column, last_try: bool) -> DataFrame:
-    """Cleaned answers to what was asked; a copy of the source only counts on a last try."""
+def answered(answers: DataFrame, requested: DataFrame, language: Column, last_try: bool) -> DataFrame:
+    """(paper_id, sid, t, asked): all that was asked for, with its cleaned answer or, where that is missing, the request.
+
+    A copy of the source only counts on a last try.
+    """
     key = ["paper_id", "sid"]
-    j = answers.join(requested.select(*key, F.col("text").alias("source")), key)
-    # The cleaned text is made by a generator: as a plain column it would be made again for every filter on it.
-    j = j.select(*key, "source", F.explode_outer(F.array(clean_translation(F.col("source"), F.col("text"), language))).alias("t")).where("t <> ''")
+    r = requested.select(*key, F.struct(*requested.columns).alias("asked"))
+    j = r.join(answers.select(*key, F.col("text").alias("answer")), key, "left")
+    # The cleaned text is made by a generator: as a plain column it would be made again for every use of it.
+    j = j.select(*key, "asked", F.explode_outer(F.array(clean_translation(F.col("asked.text"), F.col("answer"), language))).alias("t"))
+    good = F.col("t") != ""
     if not last_try:
-        j = j.where(~is_untranslated_echo(F.col("source"), F.col("t"), language))
+        good = good & ~is_untranslated_echo(F.col("asked.text"), F.col("t"), language)
     # Of several answers to one sentence the last one counts; their order is not kept by the source.
-    return j.groupBy(*key).agg(F.max("t").alias("t"))
+    one = j.groupBy(*key).agg(F.max(F.when(good, F.col("t"))).alias("t"), F.first("asked").alias("asked"))
+    return one.select(*key, "t", F.when(F.col("t").isNull(), F.col("asked")).alias("asked"))
+
+
+def accepted(answers: DataFrame, requested: DataFrame, language: Column, last_try: bool) -> DataFrame:
+    """Cleaned answers to what was asked."""
+    return answered(answers, requested, language, last_try).where("t is not null").drop("asked")
 
 
 def ask_in_rounds(requested: DataFrame, ask: Callable[[DataFrame, int], DataFrame], language: Column, rounds: int = 3) -> DataFrame:
     """(paper_id, sid, t, round): up to ``rounds`` rounds, each only for the sentences still missing.
 
-    ``ask(missing, round)`` returns answer rows (paper_id, sid, text).
+    ``ask(missing, round)`` returns answer rows (paper_id, sid, text). Nothing is asked when nothing is missing.
     """
-    key = ["paper_id", "sid"]
     got = None
     missing = requested
     for r in range(rounds):
-        new = accepted(ask(missing, r), missing, language, last_try=r > 0).withColumn("round", F.lit(r))
         # Written, so that no later step or lost executor asks (and pays) again.
-        new = stage_table(new, "answers")
+        new = stage_table(answered(ask(missing, r), missing, language, last_try=r > 0).withColumn("round", F.lit(r)), "answers")
+        missing = new.where("t is null").select("asked.*")
+        new = new.where("t is not null").drop("asked")
         got = new if got is None else got.unionByName(new)
-        if r + 1 < rounds:
-            missing = stage_table(missing.join(new.select(*key), key, "left_anti"), "missing")
+        if r + 1 == rounds or missing.isEmpty():
+            break
     return got
 
 
 def translate(sentences: DataFrame, caller: Caller, language: Column, limit: int = 12_000) -> DataFrame:
-    """Translate all sentences page batch by page batch: (paper_id, sid, t, round)."""
+    """Translate all sentences page batch by page batch, asking again for what is missing: (paper_id, sid, t, round)."""
     batches = page_batches(sentences, limit).select("paper_id", "page", "batch")
     req = sentences.join(batches, ["paper_id", "page"]).select("paper_id", "batch", "ord", "sid", F.regexp_replace("text", r"\s+", " ").alias("text"))
 
     def ask(missing: DataFrame, _: int) -> DataFrame:
         return parse_lines(call_batches(missing, caller), "paper_id")
 
-    return ask_in_rounds(req, ask, language, rounds=1)
+    return ask_in_rounds(req, ask, language)
 
 
 def with_defaults(stored: DataFrame, defaults: DataFrame, key: str) -> DataFrame:
