@@ -15,8 +15,10 @@ spanning forest of them. Candidates come from single precision with a margin and
 confirmed in double precision.
 
 Where vectors show no structure (independent directions in many dimensions) the exact
-bound excludes little, whatever the pivots, and the join tends to all pairs of blocks;
-with structure (topics, copies) most cells are excluded.
+bound excludes little, whatever the pivots, and the join tends to all pairs. If a vector
+would go to more than half of the cells, they are one cell instead, cut into few large
+blocks: two blocks meet once and count for both sides, so a vector is sent once to each
+block, not twice to each cell. With structure (topics, copies) most cells are excluded.
 
 Rows: one result per row with a vector id, repeated ids included. Null, zero, or
 non-finite vectors and those with null components have no links; vectors of different
@@ -41,8 +43,9 @@ from quire.llm.components import components, forest
 from quire.session import stage_table
 
 COSINE = 0.95
-#: Rows of a block; a cell is cut into blocks of about this size.
-BLOCK_ROWS = 4096
+#: Rows of a block; a cell is cut into blocks of about this size. One cell for all is cut into
+#: WHOLE_BLOCKS blocks; what is sent grows with their number, so beyond that they become larger first.
+BLOCK_ROWS, WHOLE_BLOCKS, MAX_BLOCK_ROWS = 4096, 8, 32768
 #: So many distinct vectors per pivot. Pivots are at most MAX_PIVOTS, as all tasks hold them.
 ROWS_PER_PIVOT, MAX_PIVOTS = 6000, 4096
 MARGIN = 1e-4
@@ -94,31 +97,34 @@ def _place(units: DataFrame, pivots: dict[int, np.ndarray], radius: float) -> Da
     return units.mapInArrow(run, "vid long, dim int, copies long, unit binary, home long, cells array<long>")
 
 
-def _meet(left: pd.DataFrame, right: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Links of home rows ``left`` with candidates ``right``: per home row a count, and a forest of the links."""
+def _meet(left: pd.DataFrame, right: pd.DataFrame, cosine: float, both: bool = False) -> pd.DataFrame:
+    """Links of home rows ``left`` with candidates ``right``: per home row (``both``: also per candidate) a count, and a forest of the links."""
     if not len(left) or not len(right):
         return pd.DataFrame({"vid": [], "n": [], "to": []})
     x, y = _matrix(left["unit"]), _matrix(right["other"])
-    lid, rid, copies = left["vid"].to_numpy(), right["rid"].to_numpy(), right["copies"].to_numpy()
+    lid, rid, copies, own = left["vid"].to_numpy(), right["rid"].to_numpy(), right["copies"].to_numpy(), left["n"].to_numpy()
     x32, y32 = x.astype(np.float32), y.astype(np.float32)
-    n = np.zeros(len(lid), np.int64)
+    n, m = np.zeros(len(lid), np.int64), np.zeros(len(rid), np.int64)
     edges = []
-    for s in range(0, len(lid), 512):
-        i, j = np.nonzero(x32[s : s + 512] @ y32.T >= cosine - MARGIN)
+    step = max(1, (1 << 21) // len(rid))  # products of a bounded size
+    for s in range(0, len(lid), step):
+        i, j = np.nonzero(x32[s : s + step] @ y32.T >= cosine - MARGIN)
         i += s
         other = lid[i] != rid[j]
         i, j = i[other], j[other]
         keep = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 65536]], y[j[k : k + 65536]]) >= cosine for k in range(0, len(i), 65536)] or [np.zeros(0, bool)])
         i, j = i[keep], j[keep]
         np.add.at(n, i, copies[j])
+        if both:
+            np.add.at(m, j, own[i])
         edges.append(forest(lid[i], rid[j]))
     few = np.concatenate([*edges, np.zeros((0, 2), np.int64)])
     few = forest(few[:, 0], few[:, 1])
-    linked = np.flatnonzero(n)
+    linked, others = np.flatnonzero(n), np.flatnonzero(m)
     return pd.DataFrame({
-        "vid": np.concatenate([lid[linked], few[:, 0]]),
-        "n": np.concatenate([n[linked], np.zeros(len(few), np.int64)]),
-        "to": pd.array(np.concatenate([np.full(len(linked), -1), few[:, 1]]), "Int64"),
+        "vid": np.concatenate([lid[linked], rid[others], few[:, 0]]),
+        "n": np.concatenate([n[linked], m[others], np.zeros(len(few), np.int64)]),
+        "to": pd.array(np.concatenate([np.full(len(linked) + len(others), -1), few[:, 1]]), "Int64"),
     })
 
 
@@ -139,20 +145,36 @@ def range_links(units: DataFrame, cosine: float = COSINE) -> DataFrame:
     if placed is None:
         return spark.createDataFrame([], "vid long, n long, to long")
 
-    # Blocks: a home row meets all candidate blocks of its cell, a candidate all home blocks.
-    home = placed.groupBy("dim", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("home_blocks"))
-    sent = placed.select("dim", F.explode("cells").alias("cell")).groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("sent_blocks"))
+    # One row per dimension: where a vector goes to most cells, all are one, of so many blocks.
+    spread = {r["dim"]: r["cells"] for r in placed.groupBy("dim").agg(F.avg(F.size("cells")).alias("cells")).collect()}
+    whole = {d: math.ceil(n / min(max(n / WHOLE_BLOCKS, BLOCK_ROWS), MAX_BLOCK_ROWS)) for d, n in sizes.items() if 2 * spread[d] > len(pivots[d])}
+    table = spark.createDataFrame(list(whole.items()), "dim int, whole int")
+    placed = placed.join(table, "dim", "left") if whole else placed.withColumn("whole", F.lit(None).cast("int"))
+    one = F.col("whole").isNotNull()
+    placed = placed.withColumn("home", F.when(one, -1).otherwise(F.col("home"))).withColumn("cells", F.when(one, F.array(F.lit(-1).cast("long"))).otherwise(F.col("cells")))
+
+    # Blocks: a home row meets all candidate blocks of its cell, a candidate all home blocks; in the one
+    # cell for all (-1) both sides have the same blocks, and two of them meet once.
+    parts = F.when(F.max("whole").isNotNull(), F.max("whole")).otherwise(F.ceil(F.count("*") / BLOCK_ROWS).cast("int"))
+    home = placed.groupBy("dim", F.col("home").alias("cell")).agg(parts.alias("home_blocks"))
+    sent = placed.select("dim", "whole", F.explode("cells").alias("cell")).groupBy("dim", "cell").agg(parts.alias("sent_blocks"))
     blocks = stage_table(home.join(sent, ["dim", "cell"]), "blocks")
     part = lambda n: F.pmod(F.xxhash64("vid"), n).cast("int")
-    left = placed.withColumn("cell", F.col("home")).join(blocks, ["dim", "cell"])
-    left = left.select("dim", "cell", part(F.col("home_blocks")).alias("hb"), F.explode(F.sequence(F.lit(0), F.col("sent_blocks") - 1)).alias("sb"), "vid", "unit")
-    right = placed.select("dim", F.explode("cells").alias("cell"), "vid", "copies", "unit").join(blocks, ["dim", "cell"])
-    right = right.select("dim", "cell", F.explode(F.sequence(F.lit(0), F.col("home_blocks") - 1)).alias("hb"), part(F.col("sent_blocks")).alias("sb"), "vid", "copies", "unit")
+    left = placed.withColumn("cell", F.col("home")).join(blocks, ["dim", "cell"]).withColumn("hb", part(F.col("home_blocks")))
+    sbs = F.sequence(F.when(one, F.col("hb")).otherwise(0), F.col("sent_blocks") - 1)
+    left = left.select("dim", "cell", "hb", F.explode(sbs).alias("sb"), "vid", F.col("copies").alias("n"), "unit")
+    right = placed.withColumn("cell", F.explode("cells")).join(blocks, ["dim", "cell"]).withColumn("sb", part(F.col("sent_blocks")))
+    hbs = F.sequence(F.lit(0), F.when(one, F.col("sb")).otherwise(F.col("home_blocks") - 1))
+    right = right.select("dim", "cell", F.explode(hbs).alias("hb"), "sb", "vid", "copies", "unit")
     # Other names on the right, as both sides come from one table.
     right = right.toDF("dim2", "cell2", "hb2", "sb2", "rid", "copies", "other")
-    return left.groupBy("dim", "cell", "hb", "sb").cogroup(right.groupBy("dim2", "cell2", "hb2", "sb2")).applyInPandas(
-        lambda a, b: _meet(a, b, cosine), "vid long, n long, to long"
-    )
+
+    def meet(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        _, cell, hb, sb = key
+        return _meet(a, b, cosine, both=cell == -1 and hb != sb)
+
+    pairs = left.groupBy("dim", "cell", "hb", "sb").cogroup(right.groupBy("dim2", "cell2", "hb2", "sb2"))
+    return pairs.applyInPandas(meet, "vid long, n long, to long")
 
 
 def near_vectors(table: DataFrame, cosine: float = COSINE) -> DataFrame:
