@@ -32,3 +32,9 @@ def test_runs_of_a_line_are_counted_without_its_characters(spark):
     got = Y.build_lines(i).select("line", "runs", F.length("text").alias("n"), "chars").collect()
     assert got and all(r.runs == len({c.item for c in r.chars if c.item >= 0}) and r.n == len(r.chars) for r in got)
     assert {r.line: r.runs for r in got}[2] == 2
+
+
+def test_refit_reads_lines_not_runs(spark):
+    """Texts are not read again for each join of its lines."""
+    plan = load()[0]["L24_ink_refit"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "doc_id" not in plan
